@@ -1,14 +1,74 @@
-"""A corpus pipeline over ``documents``, one operator a stage."""
+"""A corpus pipeline over ``documents``, one operator of flowloom.llm a stage.
+
+Each stage works on all that the one before kept. Documents that the quality
+classifier rejects go; of each group of near duplicates the one of the smallest id
+stays (documents without an id all stay); repeated passages are cut out of the
+texts, a document being kept even if nothing of its text is left; what remains is
+packed into sequences. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowloom.llm import packing, quality, simhash, substring_dedup
+from flowloom.llm.common import Scratch
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    columns = tuple(docs.columns)
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    key, text = (f"c{columns.index(c)}" for c in ("doc_id", "text"))
+    kept = quality.scored(plain, model, key, text, tuple(plain.columns)).filter("predicted = 1")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one whose id names it. Of repeated rows with one id, those of one text stay."""
+    named = simhash.near_duplicates(docs.select("doc_id", "text"))
+    stays = named.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(stays, docs["doc_id"] == stays["kept_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that repeat; n_chars follows."""
+    columns = tuple(docs.columns)
+    carried = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    at = {c: f"c{i}" for i, c in enumerate(columns)}
+    cut = substring_dedup.remove_repeats(carried, key=at["doc_id"], text=at["text"], carry=tuple(carried.columns))
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept")).otherwise(F.col(at["text"]))
+    size = {"n_chars": F.when(changed, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(at["n_chars"]))} if "n_chars" in at else {}
+    made = {"text": text} | size
+    return cut.select(*[made.get(c, F.col(at[c])).alias(c) for c in columns])
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2,048 ids."""
+    return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
 
-from flowloom.llm.packing import pack
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("substring dedup", substring_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: No SQL: the stages hash shingles, fit a model and tokenise. tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages; what each keeps is written, and read again by the next."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.table(docs)
+    return docs
