@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import ID, FlowFrame, with_positions
-from ..functions.flow import COORDINATES, combine, haversine_km, point_distance
+from ..functions.flow import COORDINATES, EARTH_KM, combine, haversine_km, point_distance
 from ..plans.lineage import cut
 from .pairs import eps_pairs, pair_distance, sides
 
@@ -91,6 +91,14 @@ def inertia(assigned: DataFrame) -> float:
     return assigned.agg(F.sum("dist")).first()[0] or 0.0
 
 
+def _point_distances(a: np.ndarray, b: np.ndarray, geographic: bool) -> np.ndarray:
+    if not geographic:
+        return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    (lon1, lat1), (lon2, lat2) = np.radians(a.T[:, :, None]), np.radians(b.T[:, None, :])
+    h = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+
+
 class KMedoidFlow:
     """K-medoids with D^2 seeding.
 
@@ -125,7 +133,7 @@ class KMedoidFlow:
         for _ in range(self.n_init):
             medoids = self._seed(df, n, rng)
             for _ in range(self.max_iter):
-                labelled = cut(assign(df, medoids, self.distance, self._geographic))
+                labelled = assign(df, medoids, self.distance, self._geographic)
                 before, medoids = medoids, self._updated(labelled, medoids, n, rng)
                 if [m[0] for m in medoids] == [m[0] for m in before]:
                     break
@@ -155,27 +163,43 @@ class KMedoidFlow:
         return medoids
 
     def _updated(self, labelled: DataFrame, medoids: list[tuple], n: int, rng) -> list[tuple]:
-        sizes = dict(labelled.groupBy("label").count().collect())
-        out = []
+        """One job draws candidates, a second sums their distances; each task returns one number per candidate."""
         salt = int(rng.randint(1 << 31))
         order = Window.partitionBy("label").orderBy(F.xxhash64(ID, F.lit(salt)), ID)
-        chosen = labelled.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= self.medoid_sample_size).select(ID, *COORDINATES, "label").orderBy("label", ID).collect()
-        measure = haversine_km if self._geographic else point_distance
-        own = [F.col(c) for c in COORDINATES]
+        drawn = labelled.select(ID, *COORDINATES, "label", F.row_number().over(order).alias("__r")).filter(F.col("__r") <= self.medoid_sample_size)
+        rows = sorted((r["label"], r[ID], *(r[c] for c in COORDINATES)) for r in drawn.collect())
+        labels = np.array([r[0] for r in rows])
+        points = np.array([r[2:] for r in rows], np.float64)
+        if len(set(labels)) == 1 and self.n_clusters > 1:
+            lowest = tuple(labelled.orderBy(ID).select(ID, *COORDINATES).first())
+            return [lowest if label == labels[0] else self._pick(labelled, rng)[0] for label in range(self.n_clusters)]
+        totals = self._sums(labelled, labels, points)
+        out = []
         for label in range(self.n_clusters):
-            if label not in sizes:
-                out += self._pick(labelled, rng)
-                continue
-            if sizes[label] == n:
-                out.append(tuple(labelled.orderBy(ID).select(ID, *COORDINATES).first()))
-                continue
-            candidates = [r for r in chosen if r["label"] == label]
-            sums = [F.sum(combine(measure(*own[:2], F.lit(r["ox"]), F.lit(r["oy"])), measure(*own[2:], F.lit(r["dx"]), F.lit(r["dy"])), self.distance)).alias(f"s{i}") for i, r in enumerate(candidates)]
-            others = labelled.filter(F.col("label") == label if self.update == "within" else F.col("label") != label)
-            totals = others.agg(*sums).first()
-            out.append(tuple(candidates[int(np.argmin(totals))])[:5])
+            own = np.flatnonzero(labels == label)
+            out.append(rows[own[np.argmin(totals[own])]][1:] if len(own) else self._pick(labelled, rng)[0])
         return out
 
+    def _sums(self, labelled: DataFrame, labels: np.ndarray, points: np.ndarray) -> np.ndarray:
+        geographic, within, mode = self._geographic, self.update == "within" or self.n_clusters == 1, self.distance
+
+        def run(batches):
+            import pandas as pd
+
+            total = np.zeros(len(labels))
+            for pdf in batches:
+                for at in range(0, len(pdf), 2048):
+                    part = pdf.iloc[at : at + 2048]
+                    x = part[list(COORDINATES)].to_numpy()
+                    ends = [_point_distances(x[:, i : i + 2], points[:, i : i + 2], geographic) for i in (0, 2)]
+                    dist = {"max": np.maximum, "min": np.minimum, "sum": np.add, "mean": lambda a, b: (a + b) / 2}[mode](*ends)
+                    same = part["label"].to_numpy()[:, None] == labels[None, :]
+                    total += np.where(same if within else ~same, dist, 0.0).sum(axis=0)
+            yield pd.DataFrame({"k": np.arange(len(labels)), "total": total})
+
+        sums = labelled.select(*COORDINATES, "label").mapInPandas(run, "k int, total double").groupBy("k").agg(F.sum("total").alias("total"))
+        return np.array([r["total"] for r in sums.orderBy("k").collect()])
+
     def fit_predict(self, frame: FlowFrame) -> DataFrame:
         return self.fit(frame).labels_
 

@@ -359,3 +359,35 @@ class FTSNE:
         elif self.init != "random":
             raise ValueError("init must be pca, random or an array")
         return y
+
+
+# ---------------------------------------------------------------- probabilities for given sigmas
+
+
+def multivariate_p(frame: FlowFrame, attributes: tuple[str, ...], sq_sigmas: tuple[float, ...], combination: str, eps: float = 1e-10) -> DataFrame:
+    """(i, j, p) of all pairs, in DataFrame functions: joint probabilities of attributes with known sigma^2.
+
+    intersection: exp(-sum D / 2 sigma^2); union: the sum of each, less the intersection.
+    Rows are normalised, then made symmetric: max((P + P^T) / 2n, eps), zero from a flow to itself.
+    """
+    from .pairs import all_pairs
+
+    if combination not in ("intersection", "union"):
+        raise ValueError("combination must be intersection or union")
+    sq = {
+        "o": lambda: (F.col("a_ox") - F.col("b_ox")) ** 2 + (F.col("a_oy") - F.col("b_oy")) ** 2,
+        "d": lambda: (F.col("a_dx") - F.col("b_dx")) ** 2 + (F.col("a_dy") - F.col("b_dy")) ** 2,
+        "length": lambda: (length("a_") - length("b_")) ** 2,
+        "angle": lambda: (angle("a_") - angle("b_")) ** 2,
+    }
+    n = frame.df.count()
+    scaled = [sq[a]() / (2 * s) for a, s in zip(attributes, sq_sigmas, strict=True)]
+    whole = F.exp(-sum(scaled[1:], scaled[0]))
+    each = [F.exp(-s) for s in scaled]
+    kernel = whole if combination == "intersection" else sum(each[1:], each[0]) - whole
+    pairs = all_pairs(frame.df, n).filter("i <> j").select("i", "j", kernel.alias("k"))
+    sums = pairs.groupBy("i").agg(F.sum("k").alias("s"))
+    rows = cut(pairs.join(sums, "i").select("i", "j", (F.col("k") / F.col("s")).alias("p")))
+    mirror = rows.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("p").alias("q"))
+    joint = rows.join(mirror, ["i", "j"]).select("i", "j", F.greatest((F.col("p") + F.col("q")) / (2 * n), F.lit(eps)).alias("p"))
+    return joint.unionByName(frame.df.select(F.col(ID).alias("i"), F.col(ID).alias("j"), F.lit(0.0).alias("p")))
