@@ -195,7 +195,7 @@ class FlowFrame:
 
     def within(self, mask) -> DataFrame:
         """(flow_id, within): both endpoints inside the mask, its boundary being outside."""
-        return self.df.select(ID, self.within_column(mask).alias("within"))
+        return self.df.select(ID, F.coalesce(self.within_column(mask), F.lit(False)).alias("within"))
 
     def within_each(self, boxes: DataFrame) -> DataFrame:
         """Row-wise: each flow against the box (flow_id, minx, miny, maxx, maxy) of its id."""

@@ -59,7 +59,7 @@ def as_polygon(mask) -> Polygon:
         return _from_geojson(mask)
     if isinstance(mask, Sequence) and len(mask) == 4 and all(isinstance(v, (int, float)) for v in mask):
         return box(*mask)
-    if isinstance(mask, Sequence) and mask and all(isinstance(v, Sequence) and len(v) >= 2 and all(isinstance(x, (int, float)) for x in v[:2]) for v in mask):
+    if isinstance(mask, Sequence) and mask and all(isinstance(v, Sequence) and len(v) in (2, 3) and all(isinstance(x, (int, float)) for x in v) for v in mask):
         return Polygon(((_closed(mask),),))
     if isinstance(mask, Sequence) and mask:
         return Polygon(tuple(part for m in mask for part in as_polygon(m).parts))
@@ -101,7 +101,7 @@ def _any(conditions: list[Column]) -> Column:
 
 
 def contains(polygon: Polygon, x: Column, y: Column, boundary: bool = False) -> Column:
-    """Is (x, y) inside? The bounding box comes first, so that file statistics can skip rows. Null coordinates are outside."""
+    """Is (x, y) inside? The bounding box comes first, so that file statistics can skip rows. Null for null coordinates, which a filter drops."""
     x0, y0, x1, y1 = polygon.bounds
     if boundary:
         inside = (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
@@ -109,7 +109,7 @@ def contains(polygon: Polygon, x: Column, y: Column, boundary: bool = False) ->
         inside = (x > x0) & (x < x1) & (y > y0) & (y < y1)
     if not polygon.is_box:
         inside = inside & _any([_in_part(part, x, y, boundary) for part in polygon.parts])
-    return F.coalesce(inside, F.lit(False))
+    return inside
 
 
 def _in_part(part: tuple[Ring, ...], x: Column, y: Column, boundary: bool) -> Column:

@@ -201,10 +201,10 @@ def brute_dbscan(d, eps, m):
 
 def test_dbscan(cloud):
     f, x = cloud
-    got = np.array(by_id(dbscan(f, 0.3, 4), "label"))
-    want = brute_dbscan(matrix(x), 0.3, 4)
+    got = np.array(by_id(dbscan(f, 0.22, 3), "label"))
+    want = brute_dbscan(matrix(x), 0.22, 3)
     assert (got == want).all() and want.max() >= 1
-    model = DBSCANFlow(0.3, 4)
+    model = DBSCANFlow(0.22, 3)
     with pytest.raises(ValueError):
         _ = model.n_clusters
     assert model.fit(f).n_clusters == want.max() + 1
