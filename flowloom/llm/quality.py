@@ -167,7 +167,7 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                 s = model.score(np.array([figures(t) for t in texts]).reshape(-1, N_FIGURES))
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(s), pa.array(s >= PREDICT_FROM).cast(pa.int32())], names=[*keep, "score", "predicted"])
 
-    out = rows.mapInArrow(run, rows.select(*keep).schema.add("score", "double").add("predicted", "int"))
+    out = rows.mapInArrow(run, rows.select(*keep).schema.add("score", "double").add("predicted", "integer"))
     return out.select(*[F.col(f"carry.`{c}`") for c in carry], *([] if key in carry else [F.col("k").alias(key)]), "score", "predicted")
 
 
