@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..frame import ID, FlowFrame
 from ..functions import crs as crs_functions
 from ..functions.flow import COORDINATES, combine, flow_distance, haversine_km, length, point_distance
+from ..plans.lineage import cut
 
 #: Flows of one block, and the least number of blocks.
 BLOCK_FLOWS = 512
@@ -166,7 +167,7 @@ def k_nearest(df: DataFrame, k: int, distance: Column, n: int, point: tuple[str,
         got = nearest(cell_pairs(open_, right, size, point).select("i", "j", distance.alias("dist")), k)
         if not whole:
             sure = got.groupBy("i").agg(F.count("*").alias("m"), F.max("dist").alias("far")).filter((F.col("m") == k) & (F.col("far") * scale <= size)).select("i")
-            sure = sure.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else sure.persist()
+            sure = cut(sure)
             got = got.join(sure, "i", "left_semi")
             open_ = open_.join(sure, "i", "left_anti")
         done = got if done is None else done.unionByName(got)
