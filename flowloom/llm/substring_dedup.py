@@ -364,11 +364,12 @@ def remove_repeats(df: DataFrame, window: int = WINDOW_WORDS, key: str = "doc_id
 
     blocks = scratch.table(_blocks(plain, window))
     shared = blocks.groupBy("phrase").agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a <> b").select("phrase")
+    shared = scratch.table(shared)  # a written table: the join's two sides are plain shuffles, whose hot keys Spark can split
     active = scratch.table(blocks.join(shared, "phrase", "left_semi"))
     scratch.drop(blocks)
 
-    first = active.groupBy("phrase", "block").agg(F.min("d").alias("f"))
-    kinds = first.groupBy("phrase").agg((F.count("*") > 1).alias("mixed"))
+    first = scratch.table(active.groupBy("phrase", "block").agg(F.min("d").alias("f")))
+    kinds = scratch.table(first.groupBy("phrase").agg((F.count("*") > 1).alias("mixed")))
     known = scratch.table(active.join(first, ["phrase", "block"]).join(kinds, "phrase").select("phrase", "d", "s", "n", "f", "mixed"))
     scratch.drop(active)
 
@@ -377,12 +378,12 @@ def remove_repeats(df: DataFrame, window: int = WINDOW_WORDS, key: str = "doc_id
     scratch.drop()
 
     windows = owned.filter("kind = 1").select("phrase", "hash", "d", "s")
-    earlier = windows.groupBy("phrase", "hash").agg(F.min("d").alias("f"), F.max("d").alias("l")).filter("f <> l").drop("l")
+    earlier = scratch.table(windows.groupBy("phrase", "hash").agg(F.min("d").alias("f"), F.max("d").alias("l")).filter("f <> l").drop("l"))
     by_window = windows.join(earlier, ["phrase", "hash"]).filter("f < d").select("d", "s", F.lit(1).alias("n"), "f")
     claims = scratch.table(known.filter("f < d").select("d", "s", "n", "f").unionByName(by_window))
     scratch.drop(known)
 
-    parts = claims.groupBy("f").agg(F.ceil(F.count("*") / CLAIMS_PER_PART).cast("int").alias("parts"))
+    parts = scratch.table(claims.groupBy("f").agg(F.ceil(F.count("*") / CLAIMS_PER_PART).cast("int").alias("parts")))
     by_doc = claims.join(parts, "f").groupBy(F.col("d").alias("k")).agg(F.collect_list(F.struct("s", "n", "f", "parts")).alias("claims"))
     keys = KeyFilter.of(claims, "d")
     met = scratch.table(_maybe(docs, keys).join(by_doc, "k", "left").withColumn("rid", F.monotonically_increasing_id()))
