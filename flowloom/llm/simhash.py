@@ -146,6 +146,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError("two halves with covering radius 1 reach 3 bits")
     copies = replicate(distinct)
     crowds = copies.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home")).filter("n > 1 and n_home > 0")
+    crowds = Scratch(distinct.sparkSession, "simhash-crowds").table(crowds)  # so that the join can split hot anchors
     met = copies.join(crowds, "anchor")
     wide, high = (F.ceil(F.col(c) / BLOCK_ROWS).cast("int") for c in ("n_home", "n"))
     mixed = F.xxhash64("fp")
