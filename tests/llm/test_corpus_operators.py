@@ -64,7 +64,7 @@ def test_quality(spark, odd_documents, no_documents):
     held = [r for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 for r in out.values())
     assert np.mean([out[r["doc_id"]]["predicted"] == r["quality"] for r in held]) >= 0.9
-    odd = quality.scored(odd_documents, model, carry=("doc_id", "score" if False else "lang")).collect()
+    odd = quality.scored(odd_documents, model, carry=("doc_id", "lang", "n")).collect()
     assert len(odd) == odd_documents.count() and not any(r["score"] != r["score"] for r in odd)
     assert quality.scored(no_documents, model).count() == 0
     none = quality.learn(docs, labels.filter("false"))
@@ -238,10 +238,10 @@ def test_near_pairs(spark, threshold):
     vocabulary = ["the", "of", "and", "a", "in", *(f"w{i}" for i in range(40))]
     texts = []
     for _ in range(12):
-        base = [rng.choice(vocabulary) for _ in range(rng.randint(5, 60))]
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(30, 150))]
         for _ in range(5):
             copy = base[:]
-            for _ in range(rng.randint(0, 4)):
+            for _ in range(rng.randint(0, 3)):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             texts.append(" ".join(copy))
     df = spark.createDataFrame(list(enumerate([*texts, "", None])), "doc_id int, text string")
