@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import text_or_empty
+from .common import Scratch, text_or_empty
 
 CHAIN_WORDS = 3
 THRESHOLD = 0.8
 #: Ids per range when documents are put in order, and the most ranges.
-IDS_PER_RANGE = 100_000
+IDS_PER_RANGE = 5_000
 MAX_RANGES = 1024
 
 # Common words of English, German, French and Spanish.
@@ -84,6 +84,7 @@ def near_pairs(df: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id",
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     sets = classes(df, key, text).groupBy("signatures").agg(F.min("class_id").alias("id")).select("id", "signatures", F.size("signatures").alias("n"))
+    sets = Scratch(df.sparkSession, "spotsigs").table(sets.filter("id is not null"))
     single = sets.select("id", "n", F.explode("signatures").alias("s"))
     counts = single.groupBy("s").agg(F.count("*").alias("df"))
     ranked = single.join(counts, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("order"))
@@ -115,24 +116,28 @@ def next_ids(ids: DataFrame) -> DataFrame:
     bounds = ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 100_000)).first()[0] if ranges > 1 else []
     part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("id"))) if bounds else F.lit(0)
     ranged = ids.withColumn("range", part)
-    tops = ranged.groupBy("range").agg(F.max("id").alias("top")).orderBy("range").collect()
-    below = [(r["range"], tops[i - 1]["top"]) for i, r in enumerate(tops)]  # of the lowest range: the largest id of all
-    links = ids.sparkSession.createDataFrame(below, "range int, below long")
+    tops = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max("id").alias("top")).collect()}
+    below, last = [], max(tops.values(), default=None)  # below the lowest range comes the largest id of all
+    for i in range(ranges):
+        below.append(F.lit(last).cast("long"))
+        last = tops.get(i, last)
     order = Window.partitionBy("range").orderBy(F.col("id").desc())
-    return ranged.withColumn("inner", F.lead("id").over(order)).join(F.broadcast(links), "range", "left").select("id", F.coalesce("inner", "below").alias("next"), "n")
+    return ranged.withColumn("inner", F.lead("id").over(order)).select("id", F.coalesce("inner", F.get(F.array(*below), F.col("range"))).alias("next"), "n")
 
 
 def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's."""
-    docs = df.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"))
-    ids = docs.filter("k is not null").groupBy(F.col("k").alias("id")).agg(F.max(F.char_length("t")).alias("n"), F.count("*").alias("rows"))
+    rows = df.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"))
+    docs = rows.filter("k is not null")  # the same for both joins below, so that texts are shuffled once
+    ids = docs.groupBy(F.col("k").alias("id")).agg(F.max(F.char_length("t")).alias("n"), F.count("*").alias("rows"))
     order = next_ids(ids.select("id", "n"))
     # Each document hands its set, and as much of its text as may be needed, to the one that it is next to.
     handed = docs.join(order.select(F.col("next").alias("k"), F.col("id").alias("to"), "n"), "k")
     handed = with_signatures(handed, "t", "next_set").select(F.col("to").alias("k"), F.expr("substring(t, 1, n div 3)").alias("head"), "next_set")
     if ids.filter("rows > 1").limit(1).count():  # of several texts with one id, the least in order stands for it
         handed = handed.groupBy("k").agg(F.min(F.struct("head", "next_set")).alias("x")).select("k", "x.*")
-    both = docs.join(handed, "k", "left").withColumn("n_chars", F.char_length("t").cast("long"))
+    alone = rows.filter("k is null").select("k", "t", F.lit(None).cast("string").alias("head"), F.lit(None).cast("array<bigint>").alias("next_set"))
+    both = docs.join(handed, "k", "left").unionByName(alone).withColumn("n_chars", F.char_length("t").cast("long"))
     both = both.withColumn("edited", F.expr("concat(substring(t, 1, int(n_chars - n_chars div 3)), substring(coalesce(head, ''), 1, int(n_chars div 3)))"))
     both = with_signatures(with_signatures(both, "t", "own_set"), "edited", "edited_set")
     return both.select(
