@@ -37,7 +37,6 @@ CLOSED_BY_SIBLING = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd"
 CLOSED_BY_SIBLING = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSED_BY_SIBLING.items()}
 #: Words in class and id attributes that mark boilerplate.
 MARKED = frozenset("ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side rail aside widget related recommended share sharing social comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login modal popup overlay toolbar pagination pager skip tags".split())
-#: Those that name the page's head only outside of an article.
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<close>>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")

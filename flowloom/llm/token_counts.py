@@ -123,7 +123,6 @@ class CountTree:
         while True:
             region_end = end + shift
             context = min(len(self.text), region_end + LEAF_CHARS)
-            old = {begin: 0}
             done = self._resync(begin, region_end, context)
             self.reencoded += context - begin
             if done is not None or region_end >= len(self.text):
@@ -131,7 +130,6 @@ class CountTree:
                 break
             last += 1
             end += self.chars[self.size + last]
-            del old
         self._splice(first, last, leaves)
         return self.total
 
