@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import packing, quality, simhash, substring_dedup
+from flowloom.llm import near_copies, packing, quality, substring_dedup
 from flowloom.llm.common import Scratch
 
 
@@ -28,9 +28,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose id names it. Of repeated rows with one id, those of one text stay."""
-    named = simhash.near_duplicates(docs.select("doc_id", "text"))
-    stays = named.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    """One document of each group of five-word Jaccard 0.8: the one of the smallest id. Of repeated rows with one id, those of one text stay."""
+    groups = near_copies.near_copies(docs)
+    named = docs.filter("doc_id is not null").select("doc_id", near_copies.node_of().alias("node")).join(groups, "node", "left")
+    stays = named.groupBy(F.coalesce("component", "node")).agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
     return docs.join(stays, docs["doc_id"] == stays["kept_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
 
 

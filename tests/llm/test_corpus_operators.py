@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.llm import quality, simhash, spotsigs, substring_dedup, url_rules
+from flowloom.llm import near_copies, quality, simhash, spotsigs, substring_dedup, url_rules
 from flowloom.llm.common import KeyFilter, Scratch
 from flowloom.llm.components import connected_components
 
@@ -336,6 +336,31 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in stages[3].collect()}
 
 
+@pytest.mark.parametrize("common_rows", [5, 2])
+def test_near_copies_by_five_words(spark, monkeypatch, common_rows):
+    """Copies with some other words, most of them over 3 SimHash bits apart, against all pairs."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "COMMON_ROWS", common_rows)
+    rng = random.Random(3)
+    rows = []
+    for _ in range(12):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice([30, 120, 400]))]
+        for edits in (0, 0, 1, 2, 3, 4, 6):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), edits * len(base) // 120):
+                copy[at] = "new"
+            rows.append((len(rows), "one line that all texts have " + " ".join(copy)))
+    rows += [(len(rows), ""), (len(rows) + 1, "two words"), (len(rows) + 2, "two  words")]
+    sets = [near_copies.shingles(t.encode()) for _, t in rows]
+    pairs = [(a, b) for b in range(len(rows)) for a in range(b) if len(set(sets[a]) & set(sets[b])) >= 0.8 * max(1, len(set(sets[a]) | set(sets[b])))]
+    prints = [simhash.fingerprint(t.encode()) for _, t in rows]
+    assert sum(bin(prints[a] ^ prints[b]).count("1") > simhash.MAX_BITS for a, b in pairs) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, df, DATA).collect())
+    assert kept == sorted(set(join_sets(len(rows), pairs)))
+
+
 def test_pipeline_stages_of_odd_rows(spark, odd_documents, no_documents):
     import corpus_pipeline
 
