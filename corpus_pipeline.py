@@ -1,16 +1,17 @@
 """A corpus pipeline over ``documents``, one operator of flowloom.llm a stage.
 
 Each stage works on all that the one before kept. Documents that the quality
-classifier rejects go; of each group of near duplicates the one of the smallest id
-stays (documents without an id all stay); repeated passages are cut out of the
-texts, a document being kept even if nothing of its text is left; what remains is
-packed into sequences. All but the last return the columns of ``documents``.
+classifier rejects go; of each group of near duplicates one row stays, the one of the
+smallest id (rows without an id come last, equal rows count once); repeated passages
+are cut out of the texts, a document being kept even if nothing of its text is left;
+what remains is packed into sequences. All but the last return the columns of
+``documents``.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowloom.llm import near_copies, packing, quality, substring_dedup
@@ -28,11 +29,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word Jaccard 0.8: the one of the smallest id. Of repeated rows with one id, those of one text stay."""
-    groups = near_copies.near_copies(docs)
-    named = docs.filter("doc_id is not null").select("doc_id", near_copies.node_of().alias("node")).join(groups, "node", "left")
-    stays = named.groupBy(F.coalesce("component", "node")).agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
-    return docs.join(stays, docs["doc_id"] == stays["kept_id"], "left_semi").unionByName(docs.filter("doc_id is null"))
+    """One row of each group of five-word Jaccard 0.8: the one of the smallest id, rows without an id last."""
+    own = docs.withColumn("__node", near_copies.node_of())
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__node")
+    groups = near_copies.near_copies(docs).select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    named = own.select("doc_id", "__node").join(groups, "__node", "left")
+    stays = named.groupBy(F.coalesce("__component", "__node")).agg(F.min(order).alias("w")).select(F.col("w.doc_id").alias("kept_id"), F.col("w.__node").alias("kept_node"))
+    kept = own.join(stays, (F.col("__node") == F.col("kept_node")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    equal = Window.partitionBy("__node", "doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return kept.withColumn("__row", F.row_number().over(equal)).filter("__row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -361,6 +361,16 @@ def test_near_copies_by_five_words(spark, monkeypatch, common_rows):
     assert kept == sorted(set(join_sets(len(rows), pairs)))
 
 
+def test_one_row_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, 1), (1, a, 1), (1, a, 2), (2, a, 3), (1, b, 4), (0, b + " end", 5), (None, a, 6), (None, "lone text", 7), (None, "lone text", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, df, DATA).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (0, b + " end"), (None, "lone text")], key=str)
+
+
 def test_pipeline_stages_of_odd_rows(spark, odd_documents, no_documents):
     import corpus_pipeline
 
