@@ -1,7 +1,8 @@
 """URL filtering by given rules and by association rules, in DataFrame functions only.
 
 Spark's FP-growth mines combinations of URL tokens that go with a label. Rules
-below the support or confidence floor, and rules that a shorter one covers, go.
+below the support or confidence floor, and rules that a shorter one covers which
+is at least as certain, go.
 The rest is an inverted index from token to rule: a URL's tokens look rules up,
 and a rule fires if all its tokens were found. URLs are judged once per distinct
 set of tokens, so a host with many pages costs one lookup.
@@ -86,9 +87,10 @@ def tokens_of(host: Column, path: Column) -> Column:
     ))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, keep_surer: bool = False) -> DataFrame:
     """(rule_id, tokens, verdict, confidence, support) from (tokens, verdict).
 
+    A rule goes if a shorter one of its verdict covers it; with keep_surer only if that one is at least as certain.
     The number of rules is bounded by the support floor: a token that frequent, and
     so each set of them, occurs in at least that share of all rows.
     """
@@ -102,9 +104,9 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     rules = rules.filter(~F.exists("antecedent", lambda t: t.startswith("verdict:")))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.regexp_replace(F.element_at("consequent", 1), "^verdict:", "").alias("verdict"), "confidence", "support")
     rules = Scratch(labelled.sparkSession, "url-rules").table(rules)
-    shorter = rules.select(F.col("tokens").alias("part"), F.col("verdict").alias("v"), F.element_at("tokens", 1).alias("first"))
+    shorter = rules.select(F.col("tokens").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("sure"), F.element_at("tokens", 1).alias("first"))
     each = rules.withColumn("first", F.explode("tokens"))
-    covered = each.join(shorter, (each["first"] == shorter["first"]) & (F.col("verdict") == F.col("v")) & (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0), "left_semi")
+    covered = each.join(shorter, (each["first"] == shorter["first"]) & (F.col("verdict") == F.col("v")) & (F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.lit(not keep_surer) | (F.col("sure") >= F.col("confidence"))), "left_semi")
     kept = rules.join(covered.select("tokens", "verdict").distinct(), ["tokens", "verdict"], "left_anti")
     return kept.withColumn("rule_id", F.xxhash64("tokens", "verdict"))
 
@@ -122,7 +124,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[Rule,
     """(key, host, path, rule, verdict, mined) for every row.
 
     labels: (url, verdict) to mine from; by default the pages themselves, labelled by the
-    given rules, then by unwanted words in the host, else as allowed.
+    unwanted words in the host, then by the given rules, else as allowed.
     """
     parts = lambda df: df.withColumn("host", host_of(F.col("u"))).withColumn("path", path_of(F.col("u")))
     own = parts(pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"))).drop("u")
@@ -131,11 +133,11 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: tuple[Rule,
     own = own.withColumns({"rule": rule, "given": verdict})
     if labels is None:
         unwanted = F.exists(F.split("host", r"[.-]"), lambda w: w.isin(*UNWANTED))
-        labelled = own.filter("host <> ''").select("tokens", F.coalesce("given", F.when(unwanted, BLOCK).otherwise(ALLOW)).alias("verdict"))
+        labelled = own.filter("host <> ''").select("tokens", F.coalesce(F.when(unwanted, BLOCK), "given", F.lit(ALLOW)).alias("verdict"))
     else:
         seen = parts(labels.select(F.col("url").cast("string").alias("u"), "verdict"))
         labelled = seen.select(tokens_of(F.col("host"), F.col("path")).alias("tokens"), "verdict")
-    mined = match_rules(own.select("tokens").distinct(), mine_rules(labelled))
+    mined = match_rules(own.select("tokens").distinct(), mine_rules(labelled, keep_surer=True))
     found = own.join(mined, "tokens", "left")
     return found.select(F.col("k").alias(key), "host", "path", "rule", F.coalesce("given", "verdict", F.lit(ALLOW)).alias("verdict"), "mined")
 

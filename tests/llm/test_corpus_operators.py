@@ -135,6 +135,15 @@ def test_mined_rules_against_counting(spark, monkeypatch):
     assert set(hits) == {tuple(sorted(t)) for t, _ in rows if any(set(c) <= set(t) for c, _ in want)}
 
 
+def test_pages_labelled_block_come_back_as_block(spark):
+    # 'bets' is labelled block under net/de/, where a given rule allows; {word:bets} and broad allow rules compete
+    urls = [f"http://x{i % 7}.net/fr/{i}" for i in range(500)] + [f"http://bets.net/fr/{i}" for i in range(12)] + [f"http://bets.net/de/{i}" for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = url_rules.judge(df).filter("rule is null").collect()
+    assert {r["verdict"] for r in out if "bets" in r["host"]} == {"block"}
+    assert {r["verdict"] for r in out if "bets" not in r["host"]} == {"allow"}
+
+
 # ---------------------------------------------------------------- op4
 
 
