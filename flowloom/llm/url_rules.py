@@ -21,12 +21,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-MIN_SUPPORT = 0.001
+#: Share of all rows that a rule must hold in; none, so that results don't depend on the table's size.
+MIN_SUPPORT = 0.0
 #: Labelled rows that a rule must hold in, whatever their share.
-MIN_ROWS = 10
+MIN_ROWS = 2
 MIN_CONFIDENCE = 0.9
-#: Tokens a mined rule may have.
-MAX_RULE_TOKENS = 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK, ALLOW = "block", "allow"
 
@@ -76,12 +75,12 @@ def given_rule(host: Column, path: Column, rules: tuple[Rule, ...] = GIVEN) -> t
 
 
 def tokens_of(host: Column, path: Column) -> Column:
-    """Distinct tokens: labels of the host, words in them, and path segments with digits as one sign."""
+    """Distinct tokens: words in the host, its labels of several words, and path segments with digits as one sign."""
     labels = F.filter(F.split(host, r"\."), lambda w: w != "")
     words = F.filter(F.flatten(F.transform(labels, lambda w: F.split(w, "-"))), lambda w: w != "")
     segments = F.filter(F.split(F.regexp_replace(path, r"\d+", "#"), "/"), lambda w: w != "")
     return F.array_distinct(F.concat(
-        F.transform(labels, lambda w: F.concat(F.lit("host:"), w)),
+        F.transform(F.filter(labels, lambda w: w.contains("-")), lambda w: F.concat(F.lit("host:"), w)),
         F.transform(words, lambda w: F.concat(F.lit("word:"), w)),
         F.transform(segments, lambda w: F.concat(F.lit("path:"), w)),
     ))
@@ -91,8 +90,8 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     """(rule_id, tokens, verdict, confidence, support) from (tokens, verdict).
 
     A rule goes if a shorter one of its verdict covers it; with keep_surer only if that one is at least as certain.
-    The number of rules is bounded by the support floor: a token that frequent, and
-    so each set of them, occurs in at least that share of all rows.
+    Sets of any number of tokens are mined that hold in MIN_ROWS rows, and in the
+    share of all rows that is asked for.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -100,7 +99,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     baskets = labelled.filter("verdict is not null").select(F.array_append("tokens", sign).alias("items"))
     floor = min(1.0, max(min_support, MIN_ROWS / max(1, baskets.count())))
     model = FPGrowth(itemsCol="items", minSupport=floor, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter(F.element_at("consequent", 1).startswith("verdict:") & (F.size("antecedent") <= MAX_RULE_TOKENS))
+    rules = model.associationRules.filter(F.element_at("consequent", 1).startswith("verdict:"))
     rules = rules.filter(~F.exists("antecedent", lambda t: t.startswith("verdict:")))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.regexp_replace(F.element_at("consequent", 1), "^verdict:", "").alias("verdict"), "confidence", "support")
     rules = Scratch(labelled.sparkSession, "url-rules").table(rules)

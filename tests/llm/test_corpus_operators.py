@@ -144,6 +144,14 @@ def test_pages_labelled_block_come_back_as_block(spark):
     assert {r["verdict"] for r in out if "bets" not in r["host"]} == {"allow"}
 
 
+def test_rare_words_have_rules_at_every_size(spark):
+    urls = [f"http://x{i % 7}.net/fr/{i}" for i in range(400)] + [f"http://{w}.org/fr/{i}" for w in ("bets", "casino-win") for i in range(2)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for part in (df, df.filter("page_id >= 360")):
+        out = url_rules.judge(part).filter("host like '%.org'").collect()
+        assert [r["verdict"] for r in out] == ["block"] * 4
+
+
 # ---------------------------------------------------------------- op4
 
 
