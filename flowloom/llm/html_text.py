@@ -4,7 +4,8 @@ Every DOM node gets its link-adjusted characters per tag. The densities of a
 node's children are summed; the subtree of the greatest sum is the main text's
 core. From there the way up to the body is followed as long as it only adds
 nodes at least as dense as the least dense node on that path, and boilerplate
-inside the chosen subtree (navigation, adverts, comments, ...) is left out.
+inside the chosen subtree (navigation, adverts, comments, ...) is left out. Class
+words and forms don't count on elements that hold the article or most of the text.
 
 Defined results: a null, empty or text-free page gives an empty text. Markup
 that is cut off or not closed is read as browsers do. Repeated rows give
@@ -53,12 +54,18 @@ class Node:
 
 
 def is_boilerplate(node: Node) -> bool:
-    if node.tag in SKIPPED or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or node.attrs.get("role", "").lower() in ROLES:
-        return True
-    if node.tag in BOILERPLATE:
+    if is_never_text(node) or node.tag in BOILERPLATE:
         return True
     if node.tag in ("html", "body", "main", "article"):
         return False
+    return is_marked(node)
+
+
+def is_never_text(node: Node) -> bool:
+    return node.tag in SKIPPED or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true" or node.attrs.get("role", "").lower() in ROLES
+
+
+def is_marked(node: Node) -> bool:
     names = node.attrs.get("class", "") + " " + node.attrs.get("id", "")
     return any(w.lower() in MARKED for w in _WORDS.findall(names)) if names != " " else False
 
@@ -124,6 +131,30 @@ def _closed_before(top: Node, tag: str) -> Node:
     return top
 
 
+def revive(root: Node) -> None:
+    """Forms and elements of boilerplate classes live if they hold an article or main, or most of the page's text outside links.
+
+    Articles of boilerplate classes (comments, teasers) don't count.
+    """
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo += [c for c in node.children if not isinstance(c, str) and not is_never_text(c)]
+    if not any(n.dead for n in nodes):
+        return
+    plain: dict[int, int] = {}
+    holds: dict[int, bool] = {}
+    for node in reversed(nodes):
+        inner = [c for c in node.children if not isinstance(c, str) and id(c) in plain]
+        own = sum(len(c) - sum(map(c.count, " \n\t\r")) for c in node.children if isinstance(c, str))
+        plain[id(node)] = 0 if node.tag == "a" else own + sum(plain[id(c)] for c in inner)
+        holds[id(node)] = any(c.tag in CONTENT and not is_marked(c) or holds[id(c)] for c in inner)
+    for node in nodes:
+        if node.dead and node.tag not in BOILERPLATE - {"form"} and (holds[id(node)] or 2 * plain[id(node)] > plain[id(root)]):
+            node.dead = False
+
+
 def _walk(root: Node) -> list[Node]:
     """All living nodes, each before its children."""
     out, todo = [], [root]
@@ -211,6 +242,7 @@ def blocks(node: Node) -> list[str]:
 
 def main_text(page: str) -> str:
     root = parse(page)
+    revive(root)
     return "\n".join(blocks(main_node(root)))
 
 

@@ -247,6 +247,13 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("open_tag", ['<div class="layout has-sidebar">', '<div id="page" class="site with-header">', '<form id="f" action="/">'])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_of_the_whole_page(open_tag, inner):
+    page = f'<body>{open_tag}<div class="sidebar"><p>at the side</p></div><{inner}><p>The text of the page is long enough to count.</p><p>It goes on here.</p></{inner}></{open_tag[1:].split()[0]}></body>'
+    assert html_text.main_text(page) == "The text of the page is long enough to count.\nIt goes on here."
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, 5), (2, None, None, 5), (None, "v", "<p>deep" + "<div>" * 3000 + "x", 5), (1, "u", PAGE, 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
