@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a Python worker handles at once inside an Arrow batch.
 SLICE_ROWS = 512
+#: Bytes of text that it handles at once where work is by distinct words.
+SLICE_BYTES = 4 << 20
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -134,6 +136,19 @@ def mix64(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(33))
 
 
+def slices_by_bytes(batch, column: str, limit: int = SLICE_BYTES):
+    """Slices of an Arrow batch that hold about limit bytes of a text column; a longer text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def split_columns(batch, columns: list[str], step: int = SLICE_ROWS):
     """Slices of an Arrow batch as Python lists, text columns as bytes."""
     import pyarrow as pa

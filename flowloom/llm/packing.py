@@ -19,8 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, split_columns, text_or_empty
-from .tokens import WordIds
+from .common import Scratch, slices_by_bytes, split_columns, text_or_empty
+from .tokens import word_ids
 
 SEQUENCE_TOKENS = 2048
 END_ID = 1
@@ -34,18 +34,17 @@ def tokenise(df: DataFrame, tokenizer_path: str, end_id: int = END_ID, key: str
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words, part, start = WordIds(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        words, part, start = word_ids(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for keys, texts in split_columns(batch, [key, text]):
-                ids = [words.ids(t.decode()).tobytes() + end for t in texts]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = start + np.cumsum(sizes) - sizes
-                start += int(sizes.sum())
+            for own in slices_by_bytes(batch, text):
+                ids, sizes = words.encode(own.column(text), end_id)
+                ends = np.cumsum(sizes)
+                data = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(4 * np.r_[0, ends]), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part), pa.int32()), pa.array(starts), pa.array(keys, batch.schema.field(key).type), pa.array(sizes), pa.array(ids, pa.binary())],
+                    [pa.array(np.full(len(sizes), part), pa.int32()), pa.array(start + ends - sizes), own.column(key), pa.array(sizes), data.cast(pa.binary())],
                     names=["part", "part_start", key, "doc_tokens", "ids"],
                 )
+                start += int(sizes.sum())
 
     return df.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(run, f"part int, part_start long, `{key}` {key_type}, doc_tokens long, ids binary")
 
