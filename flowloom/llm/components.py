@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Every round is a handful of joins and partial aggregates; nothing is gathered on
-the driver but the counts that tell when a round has changed nothing.
+the driver but the counts that tell when a round has changed nothing. The small side
+of each join is written first, so that Spark can split the star of a hot hub.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     stars = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = _state(stars)
     while state[0]:
-        large = scratch.table(_large_star(stars))
-        small = scratch.table(_small_star(large))
+        large = scratch.table(_large_star(stars, scratch))
+        small = scratch.table(_small_star(large, scratch))
         scratch.drop(stars, large)
         stars, before, state = small, state, _state(small)
         if state == before:
@@ -35,15 +36,15 @@ def _state(stars: DataFrame) -> tuple[int, int | None]:
     return tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _large_star(stars: DataFrame) -> DataFrame:
+def _large_star(stars: DataFrame, scratch: Scratch) -> DataFrame:
     """Link each larger neighbour of a node to the smallest node around it."""
     both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(stars: DataFrame) -> DataFrame:
+def _small_star(stars: DataFrame, scratch: Scratch) -> DataFrame:
     """Link each smaller neighbour of a node, and the node, to the smallest of them."""
-    least = stars.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.table(stars.groupBy("u").agg(F.min("v").alias("m")))
     moved = stars.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
     return moved.unionByName(least.withColumnRenamed("m", "v")).distinct()
