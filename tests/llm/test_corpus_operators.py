@@ -135,11 +135,15 @@ def test_mined_rules_against_counting(spark, monkeypatch):
     assert set(hits) == {tuple(sorted(t)) for t, _ in rows if any(set(c) <= set(t) for c, _ in want)}
 
 
+def labels_by(df, words):
+    return df.select("url", F.when(F.col("url").rlike(words), "block").otherwise("allow").alias("verdict"))
+
+
 def test_pages_labelled_block_come_back_as_block(spark):
-    # 'bets' is labelled block under net/de/, where a given rule allows; {word:bets} and broad allow rules compete
+    # 'bets' is labelled block, some under net/de/, where a given rule allows; {word:bets} and broad allow rules compete
     urls = [f"http://x{i % 7}.net/fr/{i}" for i in range(500)] + [f"http://bets.net/fr/{i}" for i in range(12)] + [f"http://bets.net/de/{i}" for i in range(3)]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    out = url_rules.judge(df).filter("rule is null").collect()
+    out = url_rules.judge(df, labels_by(df, "bets")).filter("rule is null").collect()
     assert {r["verdict"] for r in out if "bets" in r["host"]} == {"block"}
     assert {r["verdict"] for r in out if "bets" not in r["host"]} == {"allow"}
 
@@ -148,10 +152,33 @@ def test_rare_words_have_rules_at_every_size(spark):
     urls = [f"http://x{i % 7}.net/fr/{i}" for i in range(400)] + [f"http://{w}.org/fr/{i}" for w in ("bets", "casino-win") for i in range(2)]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     for part in (df, df.filter("page_id >= 360")):
-        out = url_rules.judge(part).filter("host like '%.org'").collect()
+        out = url_rules.judge(part, labels_by(part, "bets|casino")).filter("host like '%.org'").collect()
         assert [r["verdict"] for r in out] == ["block"] * 4
 
 
+def test_its_own_labels_come_back(spark):
+    """Pages labelled by the given rules, judged by mined rules alone."""
+    out = url_rules.judge(spark.read.parquet(f"{DATA}/pages.parquet")).filter("rule is not null").collect()
+    for verdict in ("block", "allow"):
+        own = [r["mined_verdict"] or "allow" for r in out if r["verdict"] == verdict]
+        assert own.count(verdict) >= 0.9 * len(own) > 0
+
+
+def test_a_long_path_that_recurs_is_one_item(spark):
+    path = "/".join(a + b for a in "abcde" for b in "stuvwxyz")
+    urls = [f"http://a.com/en/{path}"] * 5 + [f"http://b{i}.org/fr/x" for i in range(9)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = df.select(url_rules.tokens_of(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url"))).alias("tokens"), F.when(F.col("url").contains("com"), "block").otherwise("allow").alias("verdict"))
+    rules = url_rules.mine_rules(rows, only="block").collect()
+    assert len(rules) == 1 and len(rules[0]["tokens"]) == 43
+
+
+def test_long_urls_and_null_ids(spark):
+    rows = [(None, "http://a.com/" + "x/" * 5000 + "7" * 5000), (None, None), (1, "http://a.com/" + "y" * 100_000), (1, "http://a.com/" + "y" * 100_000)]
+    out = url_rules.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(out) == 4 and {r["verdict"] for r in out} == {"allow"} and sum(r["page_id"] is None for r in out) == 2
+
+
 # ---------------------------------------------------------------- op4
 
 
