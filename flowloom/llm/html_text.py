@@ -1,11 +1,17 @@
 """Main text of web pages by composite text density.
 
-Every DOM node gets its link-adjusted characters per tag. The densities of a
-node's children are summed; the subtree of the greatest sum is the main text's
-core. From there the way up to the body is followed as long as it only adds
-nodes at least as dense as the least dense node on that path, and boilerplate
-inside the chosen subtree (navigation, adverts, comments, ...) is left out. Class
-words and forms don't count on elements that hold the article or most of the text.
+Every DOM node gets its link-adjusted characters per tag. The densities of a node's
+block children are summed (formatting inside a line is no child of its own, it counts
+in its block); the subtree of the greatest sum is the main text's core. The least
+density on the way from it up to the body is the threshold: on that way, blocks beside
+it that are at least as dense, and headings in front of what is kept, come along; for further article
+and main elements characters outside links per tag decide, as the composite density grows
+with length. A way through an article or main element takes that element whole.
+
+Boilerplate is never measured: elements of that role (navigation, asides, forms, ...)
+and of class names that are made of boilerplate words alone ('comments', 'cookie-notice',
+but not 'market-share' or 'has-sidebar'). Class names and forms don't count on elements
+that hold the article or most of the text.
 
 Defined results: a null, empty or text-free page gives an empty text. Markup
 that is cut off or not closed is read as browsers do. Repeated rows give
@@ -15,6 +21,7 @@ empty table. A single <br> is white space inside its block.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import math
 import re
@@ -22,7 +29,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import split_columns, text_or_empty
+from .common import bounded_batches, split_columns, text_or_empty
 
 # HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,9 +43,11 @@ CONTENT = frozenset("article main".split())
 #: Elements that an equal (or grouped) start tag closes, up to the given containers.
 CLOSED_BY_SIBLING = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select datalist"), "tbody": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table")}
 CLOSED_BY_SIBLING = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSED_BY_SIBLING.items()}
-#: Words in class and id attributes that mark boilerplate.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Class and id names mark boilerplate if they hold one of these words, and no words but these and NEUTRAL ones.
 MARKED = frozenset("ad ads advert adverts advertisement advertising advertorial sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar side rail aside widget related recommended share sharing social comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login modal popup overlay toolbar pagination pager skip tags".split())
-_WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+NEUTRAL = frozenset("box list bar block section wrapper wrap container area item items inner outer holder slot unit panel content links link button buttons btn form post posts entry article articles site page main top bottom left right primary secondary global mobile desktop user reader readers col column row group thread title text body message msg fixed sticky js id the and".split())
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _TAG = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<close>>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _SPACE = re.compile(r"\s+")
@@ -67,7 +76,13 @@ def is_never_text(node: Node) -> bool:
 
 def is_marked(node: Node) -> bool:
     names = node.attrs.get("class", "") + " " + node.attrs.get("id", "")
-    return any(w.lower() in MARKED for w in _WORDS.findall(names)) if names != " " else False
+    return any(_is_marked_name(name) for name in names.split())
+
+
+@functools.lru_cache(maxsize=65536)
+def _is_marked_name(name: str) -> bool:
+    words = [w.lower() for w in _WORDS.findall(name) if not w.isdigit()]
+    return any(w in MARKED for w in words) and all(w in MARKED or w in NEUTRAL for w in words)
 
 
 def parse(page: str) -> Node:
@@ -178,7 +193,7 @@ def measure(root: Node) -> list[Node]:
     for node in nodes:
         node.density = _density(node, *body)
     for node in reversed(nodes):
-        node.total = sum(c.density for c in node.children if not isinstance(c, str) and not c.dead) or node.density
+        node.total = sum(c.density for c in block_children(node)) or node.density
     return nodes
 
 
@@ -192,26 +207,40 @@ def _density(node: Node, body_chars: int, body_link_chars: int) -> float:
     return node.chars / tags * math.log(max(1.0, node.chars / links * tags / link_tags) + 1e-9) / math.log(max(base, 1.0 + 1e-9)) if base > 1 else node.chars / tags
 
 
-def main_node(root: Node) -> Node:
-    """The subtree of the greatest density sum, widened by the body-path threshold."""
+def block_children(node: Node) -> list[Node]:
+    return [c for c in node.children if not isinstance(c, str) and not c.dead and c.tag in BLOCKS]
+
+
+def plain_density(node: Node) -> float:
+    """Characters outside links per tag, whatever the node's length."""
+    return (node.chars - node.link_chars) / max(1, node.tags)
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The subtree of the greatest density sum and what the body-path threshold adds to it, in page order."""
     nodes = measure(root)
-    best = max(nodes, key=lambda n: n.total)
+    best = max((n for n in nodes if n.tag in BLOCKS or n is root), key=lambda n: n.total)
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    threshold = min(n.density for n in path)
-    holders = [n for n in path if n.tag in CONTENT or n.attrs.get("role", "").lower() == "main"]
-    chosen = holders[-1] if holders else best
-    if not holders:
-        for up in path[1:]:
-            if any(not isinstance(c, str) and not c.dead and c.chars and c.density < threshold for c in up.children):
-                break
-            chosen = up
-    return chosen
-
-
-def blocks(node: Node) -> list[str]:
-    """Texts of the blocks in a subtree, in page order."""
+    threshold, plain = min(n.density for n in path), min(plain_density(n) for n in path)
+    kept = [best]
+    for below, up in zip(path, path[1:], strict=False):
+        beside = [c for c in block_children(up) if c.chars or c is below]
+        keeps = [c is below or c.density >= threshold or c.tag in CONTENT and plain_density(c) >= plain for c in beside]
+        for i in range(len(beside) - 2, -1, -1):
+            keeps[i] |= keeps[i + 1] and beside[i].tag in HEADINGS
+        whole = up.tag in CONTENT or up.attrs.get("role", "").lower() == "main"
+        if whole or below not in beside or all(keeps) and kept == [below]:  # a child inside a line takes its block along
+            kept = [up]
+            continue
+        at = beside.index(below)
+        kept = [c for c, k in zip(beside[:at], keeps[:at], strict=True) if k] + kept + [c for c, k in zip(beside[at + 1 :], keeps[at + 1 :], strict=True) if k]
+    return kept
+
+
+def blocks(chosen: list[Node]) -> list[str]:
+    """Texts of the blocks in some subtrees, in page order."""
     out: list[str] = []
     run: list[str] = []
 
@@ -222,7 +251,9 @@ def blocks(node: Node) -> list[str]:
             if text:
                 out.append(text)
 
-    todo: list[Node | str | None] = [node]
+    todo: list[Node | str | None] = []
+    for node in reversed(chosen):
+        todo += [None, node]
     while todo:
         item = todo.pop()
         if item is None:
@@ -231,7 +262,7 @@ def blocks(node: Node) -> list[str]:
             run.append(item)
         elif item.tag == "br":
             run.append(" ")
-        elif not item.dead or item is node:
+        elif not item.dead:
             if item.tag in BLOCKS:
                 close()
                 todo.append(None)
@@ -243,11 +274,12 @@ def blocks(node: Node) -> list[str]:
 def main_text(page: str) -> str:
     root = parse(page)
     revive(root)
-    return "\n".join(blocks(main_node(root)))
+    return "\n".join(blocks(main_nodes(root)))
 
 
 def extract_pages(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every whole page."""
+    bounded_batches(df.sparkSession)
     types = {c: df.schema[c].dataType.simpleString() for c in (key, url)}
 
     def run(batches):

@@ -254,6 +254,90 @@ def test_wrappers_of_the_whole_page(open_tag, inner):
     assert html_text.main_text(page) == "The text of the page is long enough to count.\nIt goes on here."
 
 
+@pytest.mark.parametrize("names", ["alert-fire", "market-share", "reply-note", "has-sidebar content", "with-header", "tagsoup"])
+def test_names_that_hold_other_words_live(names):
+    page = f'<body><article><p>The first paragraph of this text.</p><p class="{names}">A paragraph that stays.</p></article></body>'
+    assert html_text.main_text(page) == "The first paragraph of this text.\nA paragraph that stays."
+
+
+@pytest.mark.parametrize("names", ["comments", "cookie-notice", "reader-comments", "adBox", "related-posts", "share_buttons", "x comments"])
+def test_names_of_boilerplate_words_alone_go(names):
+    page = f'<body><article><p>The first paragraph of this text.</p><div class="{names}"><p>A paragraph that goes.</p></div><p>The last one.</p></article></body>'
+    assert html_text.main_text(page) == "The first paragraph of this text.\nThe last one."
+
+
+LONG = [f"Paragraph {i} of the text says something in a line that is long enough to count as prose." for i in range(8)]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # no article element: density alone; a list of links and a short line beside it stay out
+        ('<div><ul><li><a href="/a">one link here</a><li><a href="/b">and another</a></ul><div>' + "".join(f"<p>{x}</p>" for x in LONG) + "</div><div>(c) x</div></div>", LONG),
+        # two sibling mains
+        ("<main>" + "".join(f"<p>{x}</p>" for x in LONG[:5]) + "</main><main>" + "".join(f"<p>{x}</p>" for x in LONG[5:]) + "</main>", LONG),
+        # a heading in front of the densest block
+        ("<div><h1>Title</h1><div>" + "".join(f"<p>{x}</p>" for x in LONG) + "</div><div>up</div></div>", ["Title", *LONG]),
+        # formatting inside a paragraph makes it no better than its article
+        ("<article><p>" + " ".join(f"<b>{x}</b>" for x in LONG) + "</p><p>The end.</p></article>", [" ".join(LONG), "The end."]),
+        ("<div><p>" + " ".join(f"<b>{x}</b> and" for x in LONG) + f"</p><p>{LONG[0]}</p></div>", [" ".join(f"{x} and" for x in LONG), LONG[0]]),
+    ],
+)
+def test_density_chooses(page, text):
+    assert html_text.main_text(f"<body><nav>menu</nav>{page}<footer>end</footer></body>").split("\n") == text
+
+
+def test_densities_against_counting():
+    """Characters, tags, densities and sums of every node, each counted anew from its subtree."""
+    import math
+
+    rng = random.Random(9)
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 30)))
+        tag = rng.choice(["div", "p", "b", "a", "section", "ul", "nav", "span"])
+        return f"<{tag}>" + "".join(make(depth - 1) for _ in range(rng.randint(1, 4))) + f"</{tag}>"
+
+    def alive(n):
+        return [c for c in n.children if not isinstance(c, str) and not c.dead]
+
+    def chars(n):
+        return sum(len(c.replace(" ", "")) for c in n.children if isinstance(c, str)) + sum(map(chars, alive(n)))
+
+    def tags(n):
+        return sum(1 + tags(c) for c in alive(n))
+
+    def in_links(n):
+        return (chars(n), tags(n) + 1) if n.tag == "a" else tuple(map(sum, zip((0, 0), *map(in_links, alive(n)), strict=True)))
+
+    def density(n, body):
+        c, t, (lc, lt) = chars(n), max(1, tags(n)), in_links(n)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * max(1, lc) + in_links(body)[0] / max(1, chars(body)) * c + math.e)
+        return c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt)) + 1e-9) / math.log(base)
+
+    for _ in range(60):
+        root = html_text.parse("".join(make(5) for _ in range(3)))
+        measured = html_text.measure(root)
+        for n in measured:
+            assert (n.chars, n.tags, n.link_chars, n.link_tags) == (chars(n), tags(n), *in_links(n))
+            assert n.density == pytest.approx(density(n, root))
+            assert n.total == pytest.approx(sum(density(c, root) for c in alive(n) if c.tag in html_text.BLOCKS) or density(n, root))
+        best = max((n for n in measured if n.tag in html_text.BLOCKS or n is root), key=lambda n: n.total)
+        kept = html_text.main_nodes(root)
+        up = best
+        while up is not None and up not in kept:
+            up = up.parent
+        assert up is not None  # the densest subtree is always inside what is kept
+
+
+def test_very_long_pages():
+    page = "<article>" + "".join(f"<p>{x} {i}</p>" for i in range(20_000) for x in LONG[:1]) + "</article>"
+    assert html_text.main_text(page).count("\n") == 19_999
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE, 5), (2, None, None, 5), (None, "v", "<p>deep" + "<div>" * 3000 + "x", 5), (1, "u", PAGE, 5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
