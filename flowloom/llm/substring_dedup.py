@@ -7,8 +7,9 @@ covers it also starts in a document with a smaller id. The steps:
     Equal windows have equal phrases, so only phrases of two or more documents
     matter. Runs of windows with one phrase make blocks; equal blocks recur whole.
 2.  Recurring passages are confirmed: a block's first document by the block's
-    hash, and, where one phrase stands in different blocks, a window's first
-    document by the window's hash. The first documents own the passages.
+    hash. Where one phrase stands in different blocks, each is compared with the
+    phrase's first document, and windows that this one doesn't have with their own
+    first document, by the window's hash. The first documents own the passages.
 3.  Each owner's passages are a shard: an Aho-Corasick automaton over their
     phrases (pyahocorasick), through which the claimed parts of all other
     documents stream. A hit is extended word by word on both sides; what isn't
@@ -369,8 +370,8 @@ def remove_repeats(df: DataFrame, window: int = WINDOW_WORDS, key: str = "doc_id
     scratch.drop(blocks)
 
     first = scratch.table(active.groupBy("phrase", "block").agg(F.min("d").alias("f")))
-    kinds = scratch.table(first.groupBy("phrase").agg((F.count("*") > 1).alias("mixed")))
-    known = scratch.table(active.join(first, ["phrase", "block"]).join(kinds, "phrase").select("phrase", "d", "s", "n", "f", "mixed"))
+    kinds = scratch.table(first.groupBy("phrase").agg((F.count("*") > 1).alias("mixed"), F.min("f").alias("g")))
+    known = scratch.table(active.join(first, ["phrase", "block"]).join(kinds, "phrase").select("phrase", "d", "s", "n", "f", "g", "mixed"))
     scratch.drop(active)
 
     owners = known.filter("f = d").groupBy(F.col("d").alias("k")).agg(F.collect_list(F.struct("s", "n", "mixed", "phrase")).alias("need"))
@@ -378,9 +379,11 @@ def remove_repeats(df: DataFrame, window: int = WINDOW_WORDS, key: str = "doc_id
     scratch.drop()
 
     windows = owned.filter("kind = 1").select("phrase", "hash", "d", "s")
-    earlier = scratch.table(windows.groupBy("phrase", "hash").agg(F.min("d").alias("f"), F.max("d").alias("l")).filter("f <> l").drop("l"))
+    earlier = windows.groupBy("phrase", "hash").agg(F.min("d").alias("f"), F.max("d").alias("l")).filter("f <> l").drop("l")
+    earlier = scratch.table(earlier.join(kinds, "phrase").filter("f <> g").select("phrase", "hash", "f"))  # the rest is in what g owns
     by_window = windows.join(earlier, ["phrase", "hash"]).filter("f < d").select("d", "s", F.lit(1).alias("n"), "f")
-    claims = scratch.table(known.filter("f < d").select("d", "s", "n", "f").unionByName(by_window))
+    by_phrase = known.filter("mixed and f = d and g < d").select("d", "s", "n", F.col("g").alias("f"))
+    claims = scratch.table(known.filter("f < d").select("d", "s", "n", "f").unionByName(by_phrase).unionByName(by_window))
     scratch.drop(known)
 
     parts = scratch.table(claims.groupBy("f").agg(F.ceil(F.count("*") / CLAIMS_PER_PART).cast("int").alias("parts")))
