@@ -8,15 +8,22 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import crs as crs_functions
 from .functions import flow as flow_functions
 from .functions.flow import COORDINATES
 from .functions.geometry import as_polygon, contains
+from .plans.lineage import cut
 
 ID = "flow_id"
+#: Partitions up to which the table of their offsets is broadcast.
+BROADCAST_PARTITIONS = 10_000
+QUARTILES = (25, 50, 75)
+#: Values that one task may order, and the slices that a larger range is counted in.
+QUANTILE_ROWS = 1_000_000
+SLICES = 4096
 
 
 class FlowFrame:
@@ -271,18 +278,19 @@ class FlowFrame:
 def with_positions(df: DataFrame, name: str) -> DataFrame:
     """Number rows 0, 1, ... in their order, without bringing them together: a count per partition, then offsets.
 
-    Counts and numbers come from two runs of the same plan; give a plan whose order is fixed.
+    The marked rows are written once, so that counts and numbers are of the same run. The table
+    of offsets has one short row per partition; it is broadcast up to BROADCAST_PARTITIONS of them.
     """
     part, at = "__part", "__at"
-    marked = df.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    marked = cut(df.withColumn(part, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     sizes = marked.groupBy(part).count().orderBy(part).collect()
     base, starts = 0, []
     for row in sizes:
         starts.append((row[part], base))
         base += row["count"]
-    offsets = F.map_from_entries(F.array(*[F.struct(F.lit(p), F.lit(b).cast("long")) for p, b in starts])) if starts else None
-    number = F.element_at(offsets, F.col(part)) + F.col(at) if starts else F.col(at)
-    return marked.withColumn(name, number).drop(part, at)
+    offsets = df.sparkSession.createDataFrame(starts, f"{part} int, __base long")
+    numbered = marked.join(F.broadcast(offsets) if len(starts) <= BROADCAST_PARTITIONS else offsets, part)
+    return numbered.withColumn(name, F.col("__base") + F.col(at)).drop(part, at, "__base")
 
 
 def concat(*frames: FlowFrame) -> FlowFrame:
@@ -307,5 +315,53 @@ def describe(df: DataFrame, *columns: str) -> DataFrame:
     aggregates = []
     for c in chosen:
         v = F.col(f"`{c}`").cast("double")
-        aggregates.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *(F.percentile(v, q / 100).alias(f"q{q}") for q in (25, 50, 75)), F.max(v).alias("max")))
+        quartiles = exact_quantiles(df.select(v.alias("v")), [q / 100 for q in QUARTILES])
+        aggregates.append(F.struct(
+            F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+            *(F.lit(x).cast("double").alias(f"q{q}") for q, x in zip(QUARTILES, quartiles, strict=True)), F.max(v).alias("max"),
+        ))
     return df.agg(F.array(*aggregates).alias("rows")).select(F.inline("rows"))
+
+
+def exact_quantiles(df: DataFrame, shares: list[float], rows: int | None = None) -> list[float | None]:
+    """Quantiles of the column v, nulls left out, interpolated between neighbours; None if there are no values.
+
+    A rank's range is narrowed by counts of SLICES equal slices until it holds at most rows values;
+    those alone are brought together. Ranges of one value need no more narrowing.
+    """
+    rows = QUANTILE_ROWS if rows is None else rows
+    v = F.col("v")
+    df = df.filter(v.isNotNull())
+    n, least, most = df.agg(F.count(v), F.min(v), F.max(v)).first()
+    if not n:
+        return [None] * len(shares)
+    if n <= rows:
+        return list(df.agg(*(F.percentile(v, share) for share in shares)).first())
+
+    def at(rank: int) -> float:
+        """The value of a 0-based rank."""
+        low, high, before, count = least, most, 0, n
+        while low < high and count > rows:
+            width = (high - low) / SLICES
+            if not 0 < width < float("inf") or low + width == low:
+                break
+            inside = df.filter((v >= low) & (v <= high))
+            piece = F.least(F.floor((v - low) / width), F.lit(SLICES - 1))
+            for s in inside.groupBy(piece.alias("s")).agg(F.count(v).alias("c"), F.min(v).alias("lo"), F.max(v).alias("hi")).orderBy("s").collect():
+                if rank < before + s["c"]:
+                    low, high, count = s["lo"], s["hi"], s["c"]
+                    break
+                before += s["c"]
+        if low == high:
+            return low
+        tally = df.filter((v >= low) & (v <= high)).groupBy("v").count()
+        upto = tally.withColumn("upto", F.sum("count").over(Window.orderBy("v")))
+        return upto.filter(F.col("upto") > rank - before).agg(F.min("v")).first()[0]
+
+    out = []
+    for share in shares:
+        place = (n - 1) * share
+        low = at(int(place))
+        high = at(int(place) + 1) if place > int(place) else low
+        out.append(low + (high - low) * (place - int(place)))
+    return out

@@ -11,6 +11,7 @@ from ..frame import ID, FlowFrame
 from ..functions import crs as crs_functions
 from ..functions.flow import length
 from ..functions.geometry import as_polygon
+from ..plans.lineage import cut
 
 BOX = ("minx", "miny", "maxx", "maxy")
 RINGS = "array<array<array<struct<x:double,y:double>>>>"
@@ -99,17 +100,24 @@ def spatial_join(points: DataFrame, x: str, y: str, zones: DataFrame, boundary:
     """Inner join of points and zones, each point with every zone that holds it.
 
     Zones are entered into all cells that they reach, points into theirs, and both meet by
-    cell; the exact test follows. Cells are as large as the average zone.
+    cell; the exact test follows. Cells are as large as the average zone, and doubled for a
+    larger zone until it reaches into three by three of them at most; points look at each
+    size that there is.
     """
     size = zones.agg(F.avg(F.col("maxx") - F.col("minx")), F.avg(F.col("maxy") - F.col("miny"))).first()
     if size[0] is None:
         return points.join(zones, F.lit(False))
     wide, high = (v if v > 0 else 1.0 for v in size)
-    cell = lambda c, w: F.floor(F.col(c) / F.lit(w)).cast("long")
-    entered = zones.withColumn("__cx", F.explode(F.sequence(cell("minx", wide), cell("maxx", wide)))).withColumn("__cy", F.explode(F.sequence(cell("miny", high), cell("maxy", high))))
-    placed = points.withColumns({"__cx": cell(x, wide), "__cy": cell(y, high)})
-    met = placed.join(entered, ["__cx", "__cy"])
-    return met.filter(_inside(F.col(x), F.col(y), boundary, "rings" in zones.columns)).drop("__cx", "__cy")
+    cell = lambda c, w: F.floor(F.col(c) / (F.lit(w) * F.pow(F.lit(2.0), F.col("__level")))).cast("long")
+    times = F.greatest((F.col("maxx") - F.col("minx")) / F.lit(wide), (F.col("maxy") - F.col("miny")) / F.lit(high), F.lit(1.0))
+    zones_at = zones.withColumn("__level", F.ceil(F.log2(times)).cast("int"))
+    levels = sorted(r[0] for r in zones_at.select("__level").distinct().collect())  # at most as many as a double has exponents
+    across = F.explode(F.sequence(cell("minx", wide), cell("maxx", wide)))
+    entered = zones_at.withColumn("__cx", across).withColumn("__cy", F.explode(F.sequence(cell("miny", high), cell("maxy", high))))
+    leveled = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels))) if len(levels) > 1 else F.lit(levels[0]))
+    placed = leveled.withColumns({"__cx": cell(x, wide), "__cy": cell(y, high)})
+    met = placed.join(entered, ["__level", "__cx", "__cy"])
+    return met.filter(_inside(F.col(x), F.col(y), boundary, "rings" in zones.columns)).drop("__level", "__cx", "__cy")
 
 
 def zones_touched(zones: DataFrame, frame: FlowFrame) -> DataFrame:
@@ -160,7 +168,7 @@ def i_index(frame: FlowFrame, zones: DataFrame, alpha: float | None = None, od_t
         zones = reproject_zones(zones, zones_crs, frame.crs)
     points = frame.df.select(F.col(side + "x").alias("__x"), F.col(side + "y").alias("__y"), length().alias("__len"))
     near = zones.select("zone_id", *BOX, *[c for c in ("rings",) if c in zones.columns])
-    met = spatial_join(points, "__x", "__y", near).select("zone_id", "__len")
+    met = cut(spatial_join(points, "__x", "__y", near).select("zone_id", "__len"))  # read by medians, sums and ranks
     sums = met.groupBy("zone_id").agg(F.count("*").alias("flow_count"), (F.sum("__len") / 1000).alias("total_length"))
     if alpha is None:
         both = group_median(met, "zone_id", "__len").join(sums, "zone_id").agg(F.median("median").alias("l"), F.median("flow_count").alias("c")).first()

@@ -230,3 +230,27 @@ def test_nth_largest(spark):
     assert {tuple(r) for r in S.nth_largest(df, "g", "v", 2).collect()} == {(1, 2.0), (2, 5.0)}
     with pytest.raises(ValueError):
         S.nth_largest(df, "g", "v", 3)
+
+
+def test_quantiles_by_narrowing(spark, monkeypatch):
+    from flowloom import frame as frames
+
+    rng = np.random.RandomState(3)
+    for values in (rng.exponential(1.0, 997) ** 4, np.r_[np.zeros(600), rng.rand(301)], np.array([5.0]), np.arange(10.0), np.r_[rng.rand(500), 1e300]):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        got = frames.exact_quantiles(df, [0.0, 0.25, 0.5, 0.75, 1.0], rows=20)
+        assert np.allclose(got, np.quantile(values, [0.0, 0.25, 0.5, 0.75, 1.0]), rtol=1e-12)
+    assert frames.exact_quantiles(df.filter("false"), [0.5]) == [None]
+
+
+def test_a_large_zone_among_small_ones(spark):
+    """Each zone reaches into few cells, whatever its size, and the join is that of all pairs."""
+    rows = [(i, float(i), 0.0, i + 1.0, 1.0) for i in range(40)] + [(40, -5000.0, -5000.0, 5000.0, 5000.0), (41, 3.0, 0.5, 3.0, 0.5)]
+    boxes = spark.createDataFrame(rows, "zone_id long, minx double, miny double, maxx double, maxy double")
+    points = [(float(x), float(y)) for x, y in np.random.RandomState(1).uniform(-3, 43, (200, 2)).tolist()] + [(3.0, 0.5), (4999.0, -4999.0)]
+    df = spark.createDataFrame(points, "x double, y double")
+    for boundary in (False, True):
+        inside = (lambda x, y, b: b[1] <= x <= b[3] and b[2] <= y <= b[4]) if boundary else (lambda x, y, b: b[1] < x < b[3] and b[2] < y < b[4])
+        want = sorted((x, y, b[0]) for x, y in points for b in rows if inside(x, y, b))
+        got = sorted((r["x"], r["y"], r["zone_id"]) for r in Z.spatial_join(df, "x", "y", boxes, boundary).collect())
+        assert got == want
