@@ -1,9 +1,11 @@
 """Token counts that follow edits.
 
 Each document keeps its text as a row of leaves, each a run of whole pre-tokens,
-and a segment tree of token counts over them. An edit re-encodes only the leaves
-it touches and boundary context on both sides, up to where the pre-token borders
-agree with the old ones again, and updates sums on the paths to the root.
+and a segment tree of token counts over them: keep_trees() returns the leaves as a
+column. recount() takes kept trees and edits; an edit re-encodes only the leaves it
+touches and boundary context on both sides, up to where the pre-token borders agree
+with the old ones again, and updates sums on the paths to the root. Nothing else of a
+text is encoded again.
 
 Defined results: a null text counts as empty (no tokens); edits beyond the end
 of a text are clipped to it. Repeated rows give repeated equal rows; extra input
@@ -14,12 +16,14 @@ from __future__ import annotations
 
 import base64
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import split_columns, text_or_empty
-from .tokens import CACHE_ENTRIES
+from .common import bounded_batches, split_columns, text_or_empty
 
+#: Pre-tokens whose counts a worker keeps.
+CACHE_ENTRIES = 600_000
 #: Characters that a leaf holds before it is closed at the next pre-token border.
 LEAF_CHARS = 512
 
@@ -60,10 +64,15 @@ class PreTokenCounts(dict):
 class CountTree:
     """Segment tree of (characters, tokens) over the leaves of one document."""
 
-    def __init__(self, counts: PreTokenCounts, text: str) -> None:
+    def __init__(self, counts: PreTokenCounts, text: str, kept: bytes | None = None) -> None:
         self.counts, self.text = counts, text
         self.reencoded = 0
-        self._build(counts.leaves(text))
+        self._build(counts.leaves(text) if kept is None else np.frombuffer(kept, "<u4").reshape(-1, 2).tolist())
+
+    def kept(self) -> bytes:
+        """Characters and tokens of each leaf, as uint32; with the text, all that the tree is made from."""
+        leaves = slice(self.size, self.size + self.n)
+        return np.array([self.chars[leaves], self.tokens[leaves]], "<u4").T.tobytes()
 
     def _build(self, leaves: list[tuple[int, int]]) -> None:
         size = 1
@@ -170,14 +179,36 @@ class CountTree:
         self._build([*old[:first], *leaves, *old[last + 1 :]])
 
 
-def count_documents(df: DataFrame, ranks_path: str, pattern: str, edits=None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokens of every whole text, and after each document's edits.
+def keep_trees(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, tree, n_chars, n_tokens) of every whole text; tree as CountTree.kept() has it."""
+    bounded_batches(df.sparkSession)
+    key_type = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts = PreTokenCounts(ranks_path, pattern)
+        for batch in batches:
+            at = 0
+            for (texts,) in split_columns(batch, [text]):
+                own = batch.slice(at, len(texts))
+                at += len(texts)
+                trees = [CountTree(counts, data.decode()) for data in texts]
+                sizes = [pa.array(x, pa.int64()) for x in ([len(t.text) for t in trees], [t.total for t in trees])]
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([t.kept() for t in trees], pa.binary()), *sizes], names=[key, text, "tree", "n_chars", "n_tokens"])
+
+    schema = f"`{key}` {key_type}, `{text}` string, tree binary, n_chars long, n_tokens long"
+    return df.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(run, schema)
+
+
+def recount(kept: DataFrame, ranks_path: str, pattern: str, edits=None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_chars, n_tokens, edited_chars, edited_tokens, reencoded_chars, tree) from the rows of keep_trees().
 
     edits: a function of a text that returns [(start, stop, new text), ...], applied in
-    turn, each on the text that the one before left. The default edits nothing.
-    Returns key, n_chars, n_tokens, edited_chars, edited_tokens, reencoded_chars.
+    turn, each on the text that the one before left. The default edits nothing. tree is
+    that of the edited text.
     """
-    key_type = df.schema[key].dataType.simpleString()
+    key_type = kept.schema[key].dataType.simpleString()
     make_edits = edits or (lambda _: [])
 
     def run(batches):
@@ -185,19 +216,26 @@ def count_documents(df: DataFrame, ranks_path: str, pattern: str, edits=None, ke
 
         counts = PreTokenCounts(ranks_path, pattern)
         for batch in batches:
-            for keys, texts in split_columns(batch, [key, text]):
+            for keys, texts, trees in split_columns(batch, [key, text, "tree"]):
                 rows = []
-                for data in texts:
-                    tree = CountTree(counts, data.decode())
+                for data, own in zip(texts, trees, strict=True):
+                    tree = CountTree(counts, data.decode(), own)
                     before = len(tree.text), tree.total
                     for start, stop, new in make_edits(tree.text):
                         tree.replace(start, stop, new)
-                    rows.append((*before, len(tree.text), tree.total, tree.reencoded))
-                columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(key).type), *columns], names=[key, "n_chars", "n_tokens", "edited_chars", "edited_tokens", "reencoded_chars"])
+                    rows.append((*before, len(tree.text), tree.total, tree.reencoded, tree.kept()))
+                *sizes, after = zip(*rows, strict=True)
+                columns = [*(pa.array(x, pa.int64()) for x in sizes), pa.array(after, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(key).type), *columns], names=[key, *names, "tree"])
 
-    schema = f"`{key}` {key_type}, n_chars long, n_tokens long, edited_chars long, edited_tokens long, reencoded_chars long"
-    return df.select(F.col(key), text_or_empty(text).alias(text)).mapInArrow(run, schema)
+    names = ["n_chars", "n_tokens", "edited_chars", "edited_tokens", "reencoded_chars"]
+    schema = f"`{key}` {key_type}, " + ", ".join(f"{n} long" for n in names) + ", tree binary"
+    return kept.select(key, text, "tree").mapInArrow(run, schema)
+
+
+def count_documents(df: DataFrame, ranks_path: str, pattern: str, edits=None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Tokens of every whole text, and after each document's edits, counted from its kept tree; see recount()."""
+    return recount(keep_trees(df, ranks_path, pattern, key, text), ranks_path, pattern, edits, key, text).drop("tree")
 
 
 def redaction_edits(text: str) -> list[tuple[int, int, str]]:

@@ -39,6 +39,21 @@ def test_counts_follow_edits(odd_documents, no_documents):
     assert token_counts.count_documents(no_documents, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_kept_trees(odd_documents):
+    """Edits of kept trees encode the edited places alone, and give the trees of the edited texts."""
+    counts = token_counts.PreTokenCounts(RANKS, public_tokenizers.PATTERN)
+    kept = token_counts.keep_trees(odd_documents, RANKS, public_tokenizers.PATTERN)
+    for r in kept.collect():
+        leaves = np.frombuffer(bytes(r["tree"]), "<u4").reshape(-1, 2)
+        assert leaves.sum(axis=0).tolist() == [r["n_chars"], r["n_tokens"]] == [len(r["text"]), len(counts.encoding.encode_ordinary(r["text"]))]
+        tree = token_counts.CountTree(counts, r["text"], bytes(r["tree"]))
+        assert tree.total == r["n_tokens"] and tree.kept() == bytes(r["tree"]) and not tree.reencoded
+    same = token_counts.recount(kept, RANKS, public_tokenizers.PATTERN).collect()
+    assert all(r["reencoded_chars"] == 0 and r["edited_tokens"] == r["n_tokens"] for r in same)
+    edited = token_counts.recount(kept, RANKS, public_tokenizers.PATTERN, token_counts.redaction_edits).collect()
+    assert all(np.frombuffer(bytes(r["tree"]), "<u4").reshape(-1, 2).sum(axis=0).tolist() == [r["edited_chars"], r["edited_tokens"]] for r in edited)
+
+
 def test_random_edits(monkeypatch):
     monkeypatch.setattr(token_counts, "LEAF_CHARS", 8)
     counts = token_counts.PreTokenCounts(RANKS, public_tokenizers.PATTERN)
