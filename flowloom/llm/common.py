@@ -8,26 +8,32 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import shared_folder
+
 #: Rows that a Python worker handles at once inside an Arrow batch.
 SLICE_ROWS = 512
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 2 << 20
 #: Bytes of text that it handles at once where work is by distinct words.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold BATCH_BYTES at most: ten thousand long texts at once would fill an executor."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="flowloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The shared folder the cluster names; a folder of our own only on a local master where none is set."""
+    return shared_folder(spark).rstrip("/")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -45,6 +51,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        bounded_batches(spark)
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/flowloom/{name}-{uuid.uuid4().hex}"
         self._count = 0

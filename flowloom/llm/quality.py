@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, split_columns, text_or_empty
+from .common import SLICE_ROWS, bounded_batches, split_columns, text_or_empty
 
 #: Trusted positives, and unlabelled texts, that the fit takes at most.
 SAMPLE_ROWS = 12_000
@@ -153,6 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(carried columns, key, score, predicted) of every whole text."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("t"), *([F.struct(*carry).alias("carry")] if carry else []))
     keep = [*["carry"] * bool(carry), "k"]
 

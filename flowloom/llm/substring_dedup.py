@@ -40,7 +40,7 @@ WINDOW_WORDS = 50
 #: Claims on one owner that one part of its shard answers.
 CLAIMS_PER_PART = 4096
 #: Words whose hashes a worker keeps.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 50_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 

@@ -14,7 +14,7 @@ from array import array
 
 import numpy as np
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 #: Characters of all pieces that a worker keeps.
 CACHE_CHARS = 16_000_000
 #: Words without these are composed already, have no white space and no special-token text; the rest go through the whole tokenizer.
