@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.llm import near_copies, quality, simhash, spotsigs, substring_dedup, url_rules
+from flowloom.llm import components, near_copies, quality, simhash, spotsigs, substring_dedup, url_rules
 from flowloom.llm.common import KeyFilter, Scratch
 from flowloom.llm.components import connected_components
 
@@ -33,7 +33,9 @@ def join_sets(n, links):
 # ---------------------------------------------------------------- shared
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL_LINKS", small)
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(7, 7)]
     df = spark.createDataFrame([*links, (None, 1)], "a long, b long")
@@ -367,8 +369,8 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in stages[1].collect()} == good
     texts = {r["doc_id"]: r["text"] for r in stages[1].collect()}
     ids = sorted(texts)
-    prints = [simhash.fingerprint(texts[i].encode()) for i in ids]
-    root = join_sets(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if bin(prints[a] ^ prints[b]).count("1") <= 3])
+    sets = [set(near_copies.shingles(texts[i].encode()).tolist()) for i in ids]
+    root = join_sets(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * max(1, len(sets[a] | sets[b]))])
     assert {r["doc_id"] for r in stages[2].collect()} == {ids[r] for r in set(root)}
     left = [(r["doc_id"], r["text"]) for r in stages[2].collect()]
     want = {d: (n, h) for d, _, n, h in brute_removal(left, 50)}
@@ -380,12 +382,14 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in stages[3].collect()}
 
 
-@pytest.mark.parametrize("common_rows", [5, 2])
-def test_near_copies_by_five_words(spark, monkeypatch, common_rows):
+@pytest.mark.parametrize(("common_rows", "block", "share"), [(5, 2048, 8), (2, 2048, 8), (50, 3, 1), (50, 2, 1 << 40)])
+def test_near_copies_by_five_words(spark, monkeypatch, common_rows, block, share):
     """Copies with some other words, most of them over 3 SimHash bits apart, against all pairs."""
     import corpus_pipeline
 
     monkeypatch.setattr(near_copies, "COMMON_ROWS", common_rows)
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", block)
+    monkeypatch.setattr(near_copies, "SPANNING_SHARE", share)
     rng = random.Random(3)
     rows = []
     for _ in range(12):
