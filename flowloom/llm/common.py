@@ -18,6 +18,8 @@ from ..plans.lineage import shared_folder
 
 #: Rows that a Python worker handles at once inside an Arrow batch.
 SLICE_ROWS = 512
+#: Environment of Python workers: few allocator arenas, the system's pool for Arrow, and freed memory returned.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 2 << 20
 #: Bytes of text that it handles at once where work is by distinct words.
@@ -25,7 +27,12 @@ SLICE_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of this session hold BATCH_BYTES at most: ten thousand long texts at once would fill an executor."""
+    """Arrow batches of this session hold BATCH_BYTES at most: ten thousand long texts at once would fill an executor.
+
+    Its Python workers give freed memory back instead of keeping it for later.
+    """
+    for k, v in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(k, v)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
