@@ -21,9 +21,9 @@ SLICE_ROWS = 512
 #: Environment of Python workers: few allocator arenas, the system's pool for Arrow, and freed memory returned.
 WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 #: Bytes of text that it handles at once where work is by distinct words.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
