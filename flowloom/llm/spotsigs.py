@@ -28,9 +28,8 @@ from .common import Scratch, text_or_empty
 
 CHAIN_WORDS = 3
 THRESHOLD = 0.8
-#: Ids per range when documents are put in order, and the most ranges.
-IDS_PER_RANGE = 5_000
-MAX_RANGES = 1024
+#: Ids per range when documents are put in order: one task sorts a range, and one short row a range is linked in one task.
+IDS_PER_RANGE = 100_000
 
 # Common words of English, German, French and Spanish.
 COMMON_WORDS = tuple(dict.fromkeys("""
@@ -106,31 +105,31 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return own.join(ids, own["signatures"] == ids["same"]).select(key, "class_id", "signatures")
 
 
-def next_ids(ids: DataFrame) -> DataFrame:
+def next_ids(ids: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, next, n) of distinct ids with n: next is the next smaller id, for the smallest the largest.
 
-    Ids are ordered inside ranges between quantiles; the few range maxima link the ranges.
+    Ids are dealt into sorted ranges and written once, so that each step sees the same ranges.
+    Inside a range a window finds the next id; over ranges, one short row each hands its largest
+    id to the range above it.
     """
-    total = ids.count()
-    ranges = min(MAX_RANGES, total // IDS_PER_RANGE + 1)
-    bounds = ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 100_000)).first()[0] if ranges > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("id"))) if bounds else F.lit(0)
-    ranged = ids.withColumn("range", part)
-    tops = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max("id").alias("top")).collect()}
-    below, last = [], max(tops.values(), default=None)  # below the lowest range comes the largest id of all
-    for i in range(ranges):
-        below.append(F.lit(last).cast("long"))
-        last = tops.get(i, last)
-    order = Window.partitionBy("range").orderBy(F.col("id").desc())
-    return ranged.withColumn("inner", F.lead("id").over(order)).select("id", F.coalesce("inner", F.get(F.array(*below), F.col("range"))).alias("next"), "n")
+    scratch = scratch or Scratch(ids.sparkSession, "spotsigs")
+    ranges = ids.count() // IDS_PER_RANGE + 1
+    ranged = scratch.table(ids.repartitionByRange(ranges, "id").withColumn("range", F.spark_partition_id()))
+    tops = ranged.groupBy("range").agg(F.max("id").alias("top"))
+    below = F.coalesce(F.lag("top").over(Window.orderBy("range")), F.max("top").over(Window.partitionBy()))
+    linked = tops.select("range", below.alias("below"))
+    inner = F.lead("id").over(Window.partitionBy("range").orderBy(F.col("id").desc()))
+    return ranged.withColumn("inner", inner).join(linked, "range").select("id", F.coalesce("inner", "below").alias("next"), "n")
 
 
 def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's."""
     rows = df.select(F.col(key).cast("long").alias("k"), text_or_empty(text).alias("t"))
     docs = rows.filter("k is not null")  # the same for both joins below, so that texts are shuffled once
-    ids = docs.groupBy(F.col("k").alias("id")).agg(F.max(F.char_length("t")).alias("n"), F.count("*").alias("rows"))
-    order = next_ids(ids.select("id", "n"))
+    scratch = Scratch(df.sparkSession, "spotsigs")
+    # Read by the count, the ranges and the test for repeated ids: written once, so that texts are measured once.
+    ids = scratch.table(docs.groupBy(F.col("k").alias("id")).agg(F.max(F.char_length("t")).alias("n"), F.count("*").alias("rows")))
+    order = next_ids(ids.select("id", "n"), scratch)
     # Each document hands its set, and as much of its text as may be needed, to the one that it is next to.
     handed = docs.join(order.select(F.col("next").alias("k"), F.col("id").alias("to"), "n"), "k")
     handed = with_signatures(handed, "t", "next_set").select(F.col("to").alias("k"), F.expr("substring(t, 1, n div 3)").alias("head"), "next_set")
