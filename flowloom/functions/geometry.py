@@ -8,6 +8,7 @@ and inside for ``intersects``.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -17,6 +18,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Ring = tuple[tuple[float, float], ...]
+RINGS = "array<array<array<struct<x:double,y:double>>>>"
+BANDS = "array<array<array<struct<p:struct<x:double,y:double>,q:struct<x:double,y:double>>>>>"
+#: Edges up to which a mask is spelt out, one comparison each; a larger one is a constant array of bands.
+SPELT_EDGES = 200
+BAND_COPIES = 8
 
 
 @dataclass(frozen=True)
@@ -107,9 +113,11 @@ def contains(polygon: Polygon, x: Column, y: Column, boundary: bool = False) ->
         inside = (x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)
     else:
         inside = (x > x0) & (x < x1) & (y > y0) & (y < y1)
-    if not polygon.is_box:
-        inside = inside & _any([_in_part(part, x, y, boundary) for part in polygon.parts])
-    return inside
+    if polygon.is_box:
+        return inside
+    if sum(len(ring) - 1 for part in polygon.parts for ring in part) <= SPELT_EDGES:
+        return inside & _any([_in_part(part, x, y, boundary) for part in polygon.parts])
+    return inside & _in_bands(polygon, x, y, boundary)
 
 
 def _in_part(part: tuple[Ring, ...], x: Column, y: Column, boundary: bool) -> Column:
@@ -125,3 +133,52 @@ def _in_part(part: tuple[Ring, ...], x: Column, y: Column, boundary: bool) -> Co
     odd = reduce(lambda a, b: a + b, crossings) % 2 == 1
     on_edge = _any(touches)
     return odd | on_edge if boundary else odd & ~on_edge
+
+
+def in_rings(rings: Column, x: Column, y: Column, boundary: bool) -> Column:
+    """Ray casting over a column of polygons, by higher-order functions."""
+    def edges(ring: Column) -> Column:
+        return F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    return F.exists(rings, lambda part: _within_edges(F.flatten(F.transform(part, edges)), x, y, boundary))
+
+
+def _within_edges(every: Column, x: Column, y: Column, boundary: bool) -> Column:
+    """Crossing parity over a column of edges (p, q) of one part."""
+    def crosses(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        at = p["x"] + (y - p["y"]) * F.try_divide(q["x"] - p["x"], q["y"] - p["y"])
+        return F.coalesce(((y < p["y"]) != (y < q["y"])) & (x < at), F.lit(False))
+
+    def touches(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        side = (x - p["x"]) * (q["y"] - p["y"]) - (y - p["y"]) * (q["x"] - p["x"])
+        return (side == 0) & x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+
+    odd, edge = F.size(F.filter(every, crosses)) % 2 == 1, F.exists(every, touches)
+    return odd | edge if boundary else odd & ~edge
+
+
+def _in_bands(polygon: Polygon, x: Column, y: Column, boundary: bool) -> Column:
+    """The same over a constant array of bands of y: a point looks at the edges that reach into its band, part by part.
+
+    Bands get wider until edges are entered BAND_COPIES times each at most on average.
+    """
+    _, low, _, high = polygon.bounds
+    parts = [[(a, b) for ring in part for a, b in zip(ring, ring[1:], strict=False)] for part in polygon.parts]
+    total = sum(map(len, parts))
+    n = total
+    while True:
+        height = (high - low) / n if high > low else 1.0
+        reach = [[[min(n - 1, max(0, math.floor((v - low) / height))) for v in sorted((a[1], b[1]))] for a, b in part] for part in parts]
+        if n == 1 or sum(to - at + 1 for part in reach for at, to in part) <= BAND_COPIES * total:
+            break
+        n = max(1, n // 2)
+    bands: list[dict[int, list]] = [{} for _ in range(n)]
+    for k, (part, spans) in enumerate(zip(parts, reach, strict=True)):
+        for (a, b), (at, to) in zip(part, spans, strict=True):
+            for band in range(at, to + 1):
+                bands[band].setdefault(k, []).append({"p": {"x": a[0], "y": a[1]}, "q": {"x": b[0], "y": b[1]}})
+    held = F.from_json(F.lit(json.dumps([list(band.values()) for band in bands])), BANDS)  # folded into one literal
+    own = F.least(F.greatest(F.floor((y - F.lit(low)) / F.lit(height)), F.lit(0)), F.lit(n - 1)).cast("int")
+    return F.exists(F.get(held, own), lambda every: _within_edges(every, x, y, boundary))

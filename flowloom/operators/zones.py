@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from ..frame import ID, FlowFrame
 from ..functions import crs as crs_functions
 from ..functions.flow import length
-from ..functions.geometry import as_polygon
+from ..functions.geometry import RINGS, as_polygon, in_rings
 from ..plans.lineage import cut
 
 BOX = ("minx", "miny", "maxx", "maxy")
-RINGS = "array<array<array<struct<x:double,y:double>>>>"
 #: Values of one group that are sorted in one task for its median; larger groups are narrowed down first.
 MEDIAN_ROWS = 1_000_000
 
@@ -70,30 +69,7 @@ def polygon_zones(spark: SparkSession, polygons: dict) -> DataFrame:
 def _inside(x: Column, y: Column, boundary: bool, rings: bool) -> Column:
     a, b, c, d = (F.col(k) for k in BOX)
     near = (x >= a) & (x <= c) & (y >= b) & (y <= d) if boundary or rings else (x > a) & (x < c) & (y > b) & (y < d)
-    return near & _in_rings(F.col("rings"), x, y, boundary) if rings else near
-
-
-def _in_rings(rings: Column, x: Column, y: Column, boundary: bool) -> Column:
-    """Ray casting over a column of polygons, by higher-order functions."""
-    def edges(ring: Column) -> Column:
-        return F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-
-    def crosses(e: Column) -> Column:
-        p, q = e["p"], e["q"]
-        at = p["x"] + (y - p["y"]) * F.try_divide(q["x"] - p["x"], q["y"] - p["y"])
-        return F.coalesce(((y < p["y"]) != (y < q["y"])) & (x < at), F.lit(False))
-
-    def touches(e: Column) -> Column:
-        p, q = e["p"], e["q"]
-        side = (x - p["x"]) * (q["y"] - p["y"]) - (y - p["y"]) * (q["x"] - p["x"])
-        return (side == 0) & x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
-
-    def in_part(part: Column) -> Column:
-        every = F.flatten(F.transform(part, edges))
-        odd, edge = F.size(F.filter(every, crosses)) % 2 == 1, F.exists(every, touches)
-        return odd | edge if boundary else odd & ~edge
-
-    return F.exists(rings, in_part)
+    return near & in_rings(F.col("rings"), x, y, boundary) if rings else near
 
 
 def spatial_join(points: DataFrame, x: str, y: str, zones: DataFrame, boundary: bool = False) -> DataFrame:

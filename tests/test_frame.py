@@ -1,12 +1,14 @@
 """Flow frames: construction, CRS rules, expressions, table operations."""
 
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from flowloom.frame import FlowFrame, concat, describe
+from flowloom.functions import geometry
 from flowloom.functions.geometry import as_polygon, box
 from flowloom.sources.tables import flows_from_geometry, flows_from_od, flows_from_points, flows_from_wkt, read_csv
 
@@ -209,3 +211,20 @@ def test_read_csv(spark, tmp_path):
         assert values(f.df, "dx") == [1, 3] and values(f.df, "name") == ["a", "b"] and values(f.df, "o_x") == [0, 1]
     with pytest.raises(ValueError):
         read_csv(spark, str(path), ["o_x", "o_y"])
+
+
+def test_a_mask_of_many_edges(spark, monkeypatch):
+    ring = [((2 + math.sin(7 * t)) * math.cos(t), (2 + math.sin(7 * t)) * math.sin(t)) for t in (2 * math.pi * k / 5000 for k in range(5000))]
+    rng = random.Random(3)
+    ends = [*ring[:20], *((rng.uniform(-3, 3), rng.uniform(-3, 3)) for _ in range(400))]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(ends)], "i long, x double, y double")
+    short = ring[::50]  # spelt out, and by bands, with equal results
+    parts = [short, (-2, -2, 0.5, 0.1), [(0, 0), (3, 3), (0, 3), (1.5, 1.4)]]
+    tall = [(-3 + k / 10, -3 if k % 2 else 3) for k in range(60)]
+    for mask, limits in ((ring, (200,)), (short, (200, 0)), (parts, (200, 0)), (tall, (1000, 0))):
+        found = []
+        for limit in limits:
+            monkeypatch.setattr(geometry, "SPELT_EDGES", limit)
+            for boundary in (False, True):
+                found.append([r["i"] for r in points.filter(geometry.contains(geometry.as_polygon(mask), F.col("x"), F.col("y"), boundary)).orderBy("i").collect()])
+        assert found[0] and set(found[0]) <= set(found[1]) and found[:2] == found[-2:]
