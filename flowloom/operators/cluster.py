@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import ID, FlowFrame, with_positions
@@ -39,17 +41,24 @@ def dbscan(frame: FlowFrame, eps: float = 0.5, min_samples: int = 5, distance: s
         raise ValueError(f"distance must be one of {PLANAR_MODES}")
     if eps <= 0 or min_samples < 1:
         raise ValueError("eps must be positive and min_samples at least 1")
-    pairs = cut(eps_pairs(frame, eps, distance).select("i", "j"))
-    counts = pairs.groupBy("i").agg((F.count("*") + 1).alias("n"))
-    ids = frame.df.select(F.col(ID).alias("i"))
-    core = cut(ids.join(counts, "i", "left").filter(F.coalesce("n", F.lit(1)) >= min_samples).select("i"))
+    # Equal flows are one point of a weight: they are neighbours, and core or not, together. A point's id is its lowest flow's.
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(c) for c in COORDINATES])
+    alone = F.when(~whole, F.col(ID))  # a flow without all coordinates equals no other
+    flows = frame.df.select(ID, *COORDINATES, alone.alias("__alone"))
+    points = cut(flows.groupBy(*COORDINATES, "__alone").agg(F.min(ID).alias("i"), F.count("*").alias("w")))
+    weights = points.select("i", "w")
+    pairs = cut(eps_pairs(FlowFrame(points.select(F.col("i").alias(ID), *COORDINATES), frame.crs), eps, distance).select("i", "j"))
+    around = pairs.join(weights.select(F.col("i").alias("j"), "w"), "j").groupBy("i").agg(F.sum("w").alias("n"))
+    core = cut(weights.join(around, "i", "left").filter(F.col("w") + F.coalesce("n", F.lit(0)) >= min_samples).select("i"))
     between = pairs.join(core, "i", "left_semi").join(core.withColumnRenamed("i", "j"), "j", "left_semi")
     roots = cut(smallest_reachable(between, core))
     numbers = with_positions(cut(roots.select("root").distinct().orderBy("root")).orderBy("root"), "label")
     cores = roots.join(numbers, "root").select("i", "label")
     border = pairs.join(core, "i", "left_anti").join(cores.withColumnRenamed("i", "j"), "j").groupBy("i").agg(F.min("label").alias("label"))
     found = cores.withColumn("core", F.lit(True)).unionByName(border.withColumn("core", F.lit(False)))
-    return ids.join(found, "i", "left").select(F.col("i").alias(ID), F.coalesce("label", F.lit(-1)).cast("long").alias("label"), F.coalesce("core", F.lit(False)).alias("core"))
+    labelled = points.join(found, "i", "left").select(*[F.col(c).alias("__" + c) for c in COORDINATES], F.col("__alone").alias("__same"), "label", "core")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col("__" + c)) for c in COORDINATES], F.col("__alone").eqNullSafe(F.col("__same")))
+    return flows.join(labelled, same).select(ID, F.coalesce("label", F.lit(-1)).cast("long").alias("label"), F.coalesce("core", F.lit(False)).alias("core"))
 
 
 class DBSCANFlow:
@@ -107,17 +116,24 @@ class KMedoidFlow:
     (update='outside', the parity rule), or to those inside (update='within', the textbook
     rule). All flows in one cluster keep the lowest id. The driver holds medoids and samples
     alone, never all flows.
+
+    metric: 'euclidean', or 'haversine' for km on the sphere, at every size. None is the
+    parity rule: on a geographic CRS km with method 'precompute', and with 'auto' up to
+    5,000 flows; plain degrees otherwise.
     """
 
-    def __init__(self, n_clusters: int = 5, distance: str = "max", method: str = "auto", medoid_sample_size: int = 100, max_iter: int = 100, n_init: int = 10, random_state: int | None = None, update: str = "outside") -> None:
+    def __init__(self, n_clusters: int = 5, distance: str = "max", method: str = "auto", medoid_sample_size: int = 100, max_iter: int = 100, n_init: int = 10, random_state: int | None = None, update: str = "outside", metric: str | None = None) -> None:
         if distance not in PLANAR_MODES:
             raise ValueError(f"distance must be one of {PLANAR_MODES}")
         if method not in ("auto", "precompute", "online"):
             raise ValueError("method must be auto, precompute or online")
         if update not in ("outside", "within"):
             raise ValueError("update must be outside or within")
+        if metric not in (None, "euclidean", "haversine"):
+            raise ValueError("metric must be euclidean or haversine")
         self.n_clusters, self.distance, self.method, self.update = n_clusters, distance, method, update
         self.medoid_sample_size, self.max_iter, self.n_init, self.random_state = medoid_sample_size, max_iter, n_init, random_state
+        self.metric = metric
         self.labels_: DataFrame | None = None
 
     def fit(self, frame: FlowFrame) -> KMedoidFlow:
@@ -127,7 +143,10 @@ class KMedoidFlow:
         n = df.count()
         if not 1 <= self.n_clusters <= n:
             raise ValueError(f"{self.n_clusters} clusters of {n} flows")
-        self._geographic = is_geographic(frame.crs) and (self.method == "precompute" or self.method == "auto" and n <= 5000)
+        if self.metric == "haversine" and not is_geographic(frame.crs):
+            raise ValueError("haversine needs geographic points")
+        parity = is_geographic(frame.crs) and (self.method == "precompute" or self.method == "auto" and n <= 5000)
+        self._geographic = parity if self.metric is None else self.metric == "haversine"
         rng = np.random.RandomState(self.random_state)
         best = None
         for _ in range(self.n_init):

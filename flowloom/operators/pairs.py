@@ -19,8 +19,9 @@ from ..functions import crs as crs_functions
 from ..functions.flow import COORDINATES, combine, flow_distance, haversine_km, length, point_distance
 from ..plans.lineage import cut
 
-#: Flows of one block, and the least number of blocks.
+#: Flows of one block where pairs are written, of one block where they are only counted, and the least number of blocks.
 BLOCK_FLOWS = 512
+COUNT_BLOCK_FLOWS = 8_192
 LEAST_BLOCKS = 4
 #: Up to this many flows, nearest neighbours come from all pairs; beyond, from grid cells.
 ALL_PAIRS_FLOWS = 20_000
@@ -51,13 +52,14 @@ def meet(left: DataFrame, right: DataFrame, blocks: int) -> DataFrame:
     return a.join(b, ["__p", "__q"]).drop("__p", "__q")
 
 
-def blocks_for(n: int) -> int:
-    return max(LEAST_BLOCKS, math.ceil(n / BLOCK_FLOWS))
+def blocks_for(n: int, flows: int = BLOCK_FLOWS) -> int:
+    """A flow is copied once a block, so blocks of pairs that are summed up in their task can be larger."""
+    return max(LEAST_BLOCKS, math.ceil(n / flows))
 
 
-def all_pairs(df: DataFrame, n: int | None = None, attributes: tuple[str, ...] = ()) -> DataFrame:
+def all_pairs(df: DataFrame, n: int | None = None, attributes: tuple[str, ...] = (), flows: int = BLOCK_FLOWS) -> DataFrame:
     """(i, a_..., j, b_...) of all ordered pairs, a flow with itself included."""
-    return meet(*sides(df, attributes), blocks_for(df.count() if n is None else n))
+    return meet(*sides(df, attributes), blocks_for(df.count() if n is None else n, flows))
 
 
 def pair_distance(frame: FlowFrame, distance: str, metric="euclidean", w1: float = 1.0, w2: float = 1.0, use_length: bool = True, handle_geographic: str = "warn") -> Column:
@@ -119,27 +121,40 @@ def cell_pairs(left: DataFrame, right: DataFrame, size: float, point: tuple[str,
     return a.join(right.withColumns({"__cx": bx, "__cy": by}), ["__cx", "__cy"]).drop("__cx", "__cy")
 
 
+def reach_pairs(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
+    """Pairs whose origins and destinations lie in cells within reach of each other; holds all with both ends within reach.
+
+    Cells are a little over twice as wide as the reach, so a left flow enters two of them at
+    most in each of the four coordinates, and flows that share only an origin don't meet.
+    """
+    wide, size = reach * 1.001, reach * 2.01  # the margin covers rounding; the exact test follows
+    each = [F.array_distinct(F.array(F.floor((F.col("a_" + c) - wide) / size), F.floor((F.col("a_" + c) + wide) / size))) for c in COORDINATES]
+    names = [f"__c{k}" for k in range(len(COORDINATES))]
+    for name, cells in zip(names, each, strict=True):
+        left = left.withColumn(name, F.explode(cells))
+    right = right.withColumns({name: F.floor(F.col("b_" + c) / size) for name, c in zip(names, COORDINATES, strict=True)})
+    return left.join(right, names).drop(*names)
+
+
 def eps_pairs(frame: FlowFrame, eps: float, distance: str = "max", w1: float = 1.0, w2: float = 1.0, length: bool = False) -> DataFrame:
     """(i, j, dist) of ordered pairs of different flows with dist <= eps, planar.
 
-    max, sum: both endpoints lie within eps, mean: within 2 eps, so the cells of origins
-    hold all. min: either do, so the cells of origins and of destinations are put
-    together. weighted has no such bound and takes all pairs.
+    max, sum: both endpoints lie within eps, mean: within 2 eps, so cells of all four
+    coordinates hold all. min: either does, so the cells of origins and of destinations
+    are put together. weighted has no such bound and takes all pairs. A flow that lacks a
+    coordinate has no pairs, but for min by its whole end.
     """
     if eps < 0:
         raise ValueError("eps must not be negative")
     left, right = sides(frame.df)
-    reach = (2 * eps if distance == "mean" else eps) or 1.0
-    if distance == "weighted":
-        met = meet(left, right, blocks_for(frame.df.count()))
-    else:
-        met = cell_pairs(left, right, reach, ("ox", "oy"))
     dist = flow_distance("a_", "b_", distance, w1, w2, length)
     close = lambda pairs: pairs.filter(F.col("i") != F.col("j")).select("i", "j", dist.alias("dist")).filter(F.col("dist") <= eps)
-    out = close(met)
+    if distance == "weighted":
+        return close(meet(left, right, blocks_for(frame.df.count())))
     if distance == "min":
-        out = out.unionByName(close(cell_pairs(left, right, reach, ("dx", "dy")))).distinct()
-    return out
+        ends = [close(cell_pairs(left, right, eps or 1.0, point)) for point in (("ox", "oy"), ("dx", "dy"))]
+        return ends[0].unionByName(ends[1]).distinct()
+    return close(reach_pairs(left, right, (2 * eps if distance == "mean" else eps) or 1.0))
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -193,7 +208,7 @@ def k_neighbor_distances(frame: FlowFrame, k: int, distance: str = "max", pairs:
         dist = pair_distance(frame, distance, use_length=True)
         planar = not crs_functions.is_geographic(frame.crs) and distance in ("max", "sum", "mean")
         if k == 1 and n <= ALL_PAIRS_FLOWS:  # a plain minimum, summed up in each task
-            met = all_pairs(frame.df, n).filter("i <> j").groupBy("i").agg(F.min(dist).alias("dist"))
+            met = all_pairs(frame.df, n, flows=COUNT_BLOCK_FLOWS).filter("i <> j").groupBy("i").agg(F.min(dist).alias("dist"))
             return met.select(F.col("i").alias(ID), "dist")
         ranked = k_nearest(frame.df, k, dist, n, ("ox", "oy") if planar else None, 2.0 if distance == "mean" else 1.0)
     else:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..frame import ID, FlowFrame
 from ..functions.flow import angle, guarded_division
-from .pairs import all_pairs, blocks_for, eps_pairs, k_neighbor_distances, meet, pair_distance, sides
+from .pairs import COUNT_BLOCK_FLOWS, all_pairs, blocks_for, eps_pairs, k_neighbor_distances, meet, pair_distance, sides
 
 TINY = 1e-10
 
@@ -84,7 +84,7 @@ def _curve(frame: FlowFrame, dr: float, k: int, distance: str, mask, pairs: Data
         met = met.unionByName(frame.df.select(F.col(ID).alias("i"), F.lit(0.0).alias("dist")))
     elif pairs is None:
         left = own.select(F.col(ID).alias("i"), *(F.col(c).alias("a_" + c) for c in ("ox", "oy", "dx", "dy")))
-        met = meet(left, sides(frame.df)[1], blocks_for(frame.df.count())).select("i", pair_distance(frame, distance).alias("dist"))
+        met = meet(left, sides(frame.df)[1], blocks_for(frame.df.count(), COUNT_BLOCK_FLOWS)).select("i", pair_distance(frame, distance).alias("dist"))
     else:
         met = pairs.select("i", "dist")
     if mask is not None and (pairs is not None or r_max is not None):

@@ -11,7 +11,7 @@ from flowloom.frame import FlowFrame
 from flowloom.operators import pairs as P
 from flowloom.operators import stats as S
 from flowloom.operators import zones as Z
-from flowloom.operators.cluster import DBSCANFlow, KMedoidFlow, dbscan
+from flowloom.operators.cluster import DBSCANFlow, KMedoidFlow, assign, dbscan, inertia
 
 SCHEMA = "flow_id long, ox double, oy double, dx double, dy double"
 
@@ -212,6 +212,46 @@ def test_dbscan(cloud):
         DBSCANFlow(distance="weighted")
 
 
+@pytest.mark.parametrize("mode", ["max", "sum", "min", "mean"])
+def test_dbscan_of_repeated_flows(spark, mode):
+    rng = random.Random(5)
+    places = [tuple(rng.random() for _ in range(4)) for _ in range(25)]
+    x = np.array([rng.choice(places) for _ in range(120)])
+    got = dbscan(frame(spark, [tuple(map(float, r)) for r in x]), 0.3, 9, mode)
+    want = brute_dbscan(matrix(x, mode), 0.3, 9)
+    assert by_id(got, "label") == list(want) and want.max() >= 0
+
+
+def test_dbscan_leaves_flows_without_coordinates_alone(spark):
+    rows = [(0, 0.0, 0.0, 1.0, 1.0), *((i, None, 0.0, 1.0, 1.0) for i in range(1, 5)), *((i, float("nan"), 0.0, 1.0, 1.0) for i in range(5, 9)), (9, 0.0, 0.0, 1.0, 1.0)]
+    f = FlowFrame(spark.createDataFrame(rows, "flow_id long, ox double, oy double, dx double, dy double"))
+    got = {r["flow_id"]: (r["label"], r["core"]) for r in dbscan(f, 0.5, 2).collect()}
+    assert got == {i: ((0, True) if i in (0, 9) else (-1, False)) for i in range(10)}
+    assert dbscan(f._with(f.df.filter("false")), 0.5, 2).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["max", "sum", "mean"])
+def test_eps_pairs_at_the_very_distance(spark, mode):
+    rows = [(i * 0.1, 0.0, 0.0, i * 0.1) for i in range(-12, 12)]
+    x = np.array(rows)
+    for eps in (0.1, 0.2, 0.30000000000000004):
+        d = matrix(x, mode)
+        want = {(i, j) for i, j in zip(*np.nonzero(d <= eps), strict=True) if i != j}
+        assert {(r["i"], r["j"]) for r in P.eps_pairs(frame(spark, rows), eps, mode).collect()} == want
+
+
+def test_kmedoid_metric_at_every_size(spark):
+    rows = [(0.0, 60.0, 0.0, 60.0), (1.0, 60.0, 1.0, 60.0), (0.0, 61.0, 0.0, 61.0), (40.0, 0.0, 40.0, 0.0)]
+    geographic = frame(spark, rows, 4326)
+    for method, metric in (("auto", "euclidean"), ("precompute", "euclidean"), ("online", "haversine")):
+        model = KMedoidFlow(2, method=method, n_init=1, random_state=0, metric=metric).fit(geographic)
+        assert model.inertia_ == pytest.approx(inertia(assign(geographic.df, model.medoids_, "max", metric == "haversine")))
+    with pytest.raises(ValueError):
+        KMedoidFlow(2, metric="haversine").fit(frame(spark, rows))
+    with pytest.raises(ValueError):
+        KMedoidFlow(metric="cosine")
+
+
 def test_kmedoid(spark):
     rng = random.Random(2)
     rows = [tuple(c + rng.random() / 10 for c in base) for base in ((0, 0, 1, 1), (5, 5, 6, 6)) for _ in range(10)]
