@@ -228,3 +228,13 @@ def test_a_mask_of_many_edges(spark, monkeypatch):
             for boundary in (False, True):
                 found.append([r["i"] for r in points.filter(geometry.contains(geometry.as_polygon(mask), F.col("x"), F.col("y"), boundary)).orderBy("i").collect()])
         assert found[0] and set(found[0]) <= set(found[1]) and found[:2] == found[-2:]
+
+
+def test_points_beside_an_edge_follow_its_cross_product(spark):
+    ring = ((100.0, 100.0), (900.0, 200.0), (500.0, 800.0), (100.0, 100.0))
+    at = [(125.6, 144.8), (127.6, 148.3), (131.6, 155.3), (899.8, 200.3), (125.5, 144.7), (500.0, 800.0)]
+    left = lambda x, y: all((bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0 for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False))
+    want = [i for i, p in enumerate(at) if left(*p)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "i long, x double, y double")
+    got = points.filter(geometry.contains(as_polygon(ring), F.col("x"), F.col("y"))).orderBy("i").collect()
+    assert want and [r["i"] for r in got] == want
