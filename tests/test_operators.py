@@ -294,3 +294,13 @@ def test_a_large_zone_among_small_ones(spark):
         want = sorted((x, y, b[0]) for x, y in points for b in rows if inside(x, y, b))
         got = sorted((r["x"], r["y"], r["zone_id"]) for r in Z.spatial_join(df, "x", "y", boxes, boundary).collect())
         assert got == want
+
+
+def test_zone_points_beside_an_edge_follow_its_cross_product(spark):
+    ring = ((100.0, 100.0), (900.0, 200.0), (500.0, 800.0), (100.0, 100.0))
+    at = [(125.6, 144.8), (127.6, 148.3), (131.6, 155.3), (899.8, 200.3), (125.5, 144.7), (500.0, 800.0)]
+    left = lambda x, y: all((bx - ax) * (y - ay) - (by - ay) * (x - ax) > 0 for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False))
+    want = [i for i, p in enumerate(at) if left(*p)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "i long, x double, y double")
+    got = Z.spatial_join(points, "x", "y", Z.polygon_zones(spark, {1: ring})).orderBy("i").collect()
+    assert want and [r["i"] for r in got] == want
