@@ -1,10 +1,11 @@
 """Flow t-SNE: embeddings whose dimensions follow chosen attributes of flows.
 
 Each mapping (one attribute, or several by intersection or union) has a joint
-probability matrix, kept as square tiles in a written table. An iteration is one Spark
-job over the tiles with the current embedding; tasks return sums per block of rows.
-Attribute values and the embedding (n x a few doubles) go to every task, so n is
-checked against max_flows; the matrices themselves are never gathered.
+probability matrix of square tiles. A first job fits each row (its precision, shift and
+sum); tiles are then computed from the two flows' rows where they are used and are never
+stored, joined or gathered. An iteration is one Spark job over the tiles with the current
+embedding; tasks return sums per block of rows. Attribute values, rows' fits and the
+embedding (n x a few doubles) go to every task, so n is checked against max_flows.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 from ..frame import ID, FlowFrame
 from ..functions import crs as crs_functions
 from ..functions.flow import EARTH_KM, angle, length
-from ..plans.lineage import cut
 
 TILE = 256
+#: Distances that are held at once while rows are fitted.
+STRIP_CELLS = 1_000_000
 EPS = float(np.finfo(np.float64).eps)
 #: The gradient's factor: 4 of the derivation, times 4 as the parity rule has it.
 GRADIENT_FACTOR = 16.0
@@ -42,17 +44,19 @@ def sq_distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.
     return ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
 
 
-def conditional_p(sq: np.ndarray, own: np.ndarray, perplexity: float, steps: int = 100, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of conditional probabilities and sigma^2 = 1 / (2 beta), by bisection. own[r] is row r's own column."""
+def fit_rows(sq: np.ndarray, own: np.ndarray, perplexity: float, steps: int = 100, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities, and for each row sigma^2 = 1 / (2 beta), beta, shift and sum: p = exp(-(sq - shift) * beta) / sum. By bisection; own[r] is row r's own column."""
     rows = np.arange(len(sq))
     target = math.log(perplexity)
     beta, low, high = np.ones(len(sq)), np.full(len(sq), -np.inf), np.full(len(sq), np.inf)
     shifted = sq.copy()
     shifted[rows, own] = np.inf
-    shifted -= shifted.min(axis=1, keepdims=True)
+    shift = shifted.min(axis=1)
+    shifted -= shift[:, None]
     shifted[rows, own] = 0.0
-    p = np.zeros_like(sq)
+    p, used, total = np.zeros_like(sq), beta, np.full(len(sq), EPS)
     for _ in range(steps):
+        used = beta
         p = np.exp(-shifted * beta[:, None])
         p[rows, own] = 0.0
         total = np.maximum(p.sum(axis=1), EPS)
@@ -64,7 +68,12 @@ def conditional_p(sq: np.ndarray, own: np.ndarray, perplexity: float, steps: int
         up, down = off > tol, off < -tol
         low[up], high[down] = beta[up], beta[down]
         beta = np.where(up, np.where(np.isinf(high), beta * 2, (beta + high) / 2), np.where(down, np.where(np.isinf(low), beta / 2, (beta + low) / 2), beta))
-    return p, 1 / (2 * beta)
+    return p, 1 / (2 * beta), used, shift, total
+
+
+def conditional_p(sq: np.ndarray, own: np.ndarray, perplexity: float, steps: int = 100, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of conditional probabilities and sigma^2 = 1 / (2 beta), by bisection. own[r] is row r's own column."""
+    return fit_rows(sq, own, perplexity, steps, tol)[:2]
 
 
 def inv_sd(y: np.ndarray, z: np.ndarray | None = None) -> np.ndarray:
@@ -111,60 +120,102 @@ class GDOptimizer:
 # ---------------------------------------------------------------- tiles
 
 
-def _row_tiles(spark, values: list[np.ndarray], metrics: list[str], perplexity: float, relation: str, combination: str, neighbours: int | None) -> DataFrame:
-    """Conditional probabilities of a mapping as tiles (bi, bj, p)."""
-    n = len(values[0])
-    blocks = -(-n // TILE)
-    shared = spark.sparkContext.broadcast(values)  # n rows of a few doubles, n checked by the caller
+@dataclass
+class Rows:
+    """A mapping's attribute values and metrics, and the fits of its rows, one array for each."""
+
+    values: list[np.ndarray]
+    metrics: list[str]
+    relation: str
+    combination: str
+    fits: list[np.ndarray] = field(default_factory=list)
+
+    @property
+    def joined(self) -> bool:
+        """Is there one distance, of which nearest neighbours and a perplexity are known?"""
+        return len(self.values) == 1 or self.relation == "distance"
+
+    def squares(self, rows: slice | np.ndarray, columns: slice | np.ndarray) -> list[np.ndarray]:
+        each = [sq_distances(v[rows], v[columns], m) for v, m in zip(self.values, self.metrics, strict=True)]
+        if len(each) > 1 and self.joined:
+            each = [np.maximum.reduce(each) if self.combination == "intersection" else np.minimum.reduce(each)]
+        return each
+
+    def combined(self, each: list[np.ndarray], sigma2: list[np.ndarray]) -> np.ndarray:
+        scaled = [sq / s[:, None] for sq, s in zip(each, sigma2, strict=True)]
+        whole = np.exp(-0.5 * sum(scaled))
+        return whole if self.combination == "intersection" else sum(np.exp(-0.5 * s) for s in scaled) - whole
+
+    def fit(self, rows: np.ndarray, perplexity: float, neighbours: int | None) -> list[np.ndarray]:
+        each, at = self.squares(rows, slice(None)), np.arange(len(rows))
+        if self.joined:
+            sq, edge = each[0], np.full(len(rows), np.inf)
+            if neighbours is not None and neighbours < sq.shape[1] - 1:
+                held = sq.copy()
+                held[at, rows] = np.inf
+                edge = np.partition(held, neighbours - 1, axis=1)[:, neighbours - 1]
+                sq = np.where(held <= edge[:, None], sq, 1e300)
+            return [*fit_rows(sq, rows, perplexity)[2:], edge]
+        sigma2 = [fit_rows(sq, rows, perplexity)[1] for sq in each]
+        p = self.combined(each, sigma2)
+        p[at, rows] = 0.0
+        return [*sigma2, np.maximum(p.sum(axis=1), EPS)]
+
+    def conditional(self, each: list[np.ndarray], rows: slice) -> np.ndarray:
+        """Conditional probabilities of fitted rows from their distances to any columns; not those of a row to itself."""
+        own = [f[rows] for f in self.fits]
+        if not self.joined:
+            return self.combined(each, own[:-1]) / own[-1][:, None]
+        beta, shift, total, edge = (f[:, None] for f in own)
+        return np.where(each[0] <= edge, np.exp(-(each[0] - shift) * beta), 0.0) / total
+
+    def joint(self, bi: int, bj: int, eps: float) -> np.ndarray:
+        """max((P + P^T) / 2n, eps) of two blocks, with a zero diagonal."""
+        n, a, b = len(self.values[0]), slice(bi * TILE, (bi + 1) * TILE), slice(bj * TILE, (bj + 1) * TILE)
+        each = self.squares(a, b)
+        with np.errstate(over="ignore"):  # a row's own column lies below its shift and is set to zero
+            both = self.conditional(each, a) + self.conditional([sq.T for sq in each], b).T
+        out = np.maximum(both / (2 * n), eps)
+        if bi == bj:
+            np.fill_diagonal(out, 0.0)
+        return out
+
+
+def fitted(spark, rows: Rows, perplexity: float, neighbours: int | None) -> Rows:
+    """The same with its rows' fits, a few doubles each. Rows are fitted in strips of bounded size."""
+    n = len(rows.values[0])
+    step = max(1, min(TILE, STRIP_CELLS // n))
+    strips = -(-n // step)
+    shared = spark.sparkContext.broadcast(rows)  # n rows of a few doubles, n checked by the caller
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
-            for bi in pdf["id"]:
-                rows = np.arange(bi * TILE, min(n, (bi + 1) * TILE))
-                each = [sq_distances(v[rows], v, m) for v, m in zip(shared.value, metrics, strict=True)]
-                at = np.arange(len(rows))
-                if len(each) > 1 and relation == "distance":
-                    each = [np.maximum.reduce(each) if combination == "intersection" else np.minimum.reduce(each)]
-                if len(each) == 1:
-                    sq = each[0]
-                    if neighbours is not None and neighbours < n - 1:
-                        held = sq.copy()
-                        held[at, rows] = np.inf
-                        edge = np.partition(held, neighbours - 1, axis=1)[:, neighbours - 1]
-                        sq = np.where(held <= edge[:, None], sq, np.inf)
-                        sq = np.where(np.isinf(sq), 1e300, sq)
-                    p, _ = conditional_p(sq, rows, perplexity)
-                else:
-                    scaled = [sq / conditional_p(sq, rows, perplexity)[1][:, None] for sq in each]
-                    whole = np.exp(-0.5 * sum(scaled))
-                    p = whole if combination == "intersection" else sum(np.exp(-0.5 * s) for s in scaled) - whole
-                    p[at, rows] = 0.0
-                    p /= np.maximum(p.sum(axis=1, keepdims=True), EPS)
-                yield pd.DataFrame({"bi": bi, "bj": range(blocks), "p": [np.ascontiguousarray(p[:, b * TILE : (b + 1) * TILE]).tobytes() for b in range(blocks)]})
-
-    return spark.range(0, blocks, 1, min(blocks, max(2, spark.sparkContext.defaultParallelism))).mapInPandas(run, TILES)
-
-
-def joint_tiles(conditional: DataFrame, n: int, eps: float = 1e-10) -> DataFrame:
-    """max((P + P^T) / 2n, eps) with a zero diagonal: each tile meets its mirror by an equi-join."""
-    mirror = conditional.select(F.col("bj").alias("bi"), F.col("bi").alias("bj"), F.col("p").alias("q"))
+            for k in pdf["id"]:
+                fits = shared.value.fit(np.arange(k * step, min(n, (k + 1) * step)), perplexity, neighbours)
+                yield pd.DataFrame({"k": [k], "fits": [np.stack(fits).tobytes()]})
+
+    got = spark.range(0, strips, 1, min(strips, max(2, spark.sparkContext.defaultParallelism))).mapInPandas(run, "k long, fits binary").collect()
+    shared.unpersist()
+    each = [np.frombuffer(r["fits"]).reshape(-1, min(n, (r["k"] + 1) * step) - r["k"] * step) for r in sorted(got, key=lambda r: r["k"])]
+    return Rows(rows.values, rows.metrics, rows.relation, rows.combination, list(np.concatenate(each, axis=1)))
+
+
+def joint_tiles(spark, rows: Rows, eps: float = 1e-10) -> DataFrame:
+    """(bi, bj, p): the joint matrix, each tile computed by the task that reads it."""
+    blocks = -(-len(rows.values[0]) // TILE)
+    shared = spark.sparkContext.broadcast(rows)
 
     def run(batches):
+        import pandas as pd
+
         for pdf in batches:
-            out = []
-            for bi, bj, p, q in zip(pdf["bi"], pdf["bj"], pdf["p"], pdf["q"], strict=True):
-                rows, cols = min(TILE, n - bi * TILE), min(TILE, n - bj * TILE)
-                both = np.frombuffer(p).reshape(rows, cols) + np.frombuffer(q).reshape(cols, rows).T
-                both = np.maximum(both / (2 * n), eps)
-                if bi == bj:
-                    np.fill_diagonal(both, 0.0)
-                out.append(both.tobytes())
-            pdf["p"] = out
-            yield pdf[["bi", "bj", "p"]]
+            for at in pdf["id"]:
+                bi, bj = divmod(int(at), blocks)
+                yield pd.DataFrame({"bi": [bi], "bj": [bj], "p": [np.ascontiguousarray(shared.value.joint(bi, bj, eps)).tobytes()]})
 
-    return conditional.join(mirror, ["bi", "bj"]).mapInPandas(run, TILES)
+    return spark.range(0, blocks * blocks, 1, min(blocks * blocks, max(2, spark.sparkContext.defaultParallelism))).mapInPandas(run, TILES)
 
 
 def tiles_to_pairs(tiles: DataFrame, ids: list[int]) -> DataFrame:
@@ -248,7 +299,7 @@ class FTSNE:
     loss_func: str = "kl"
     metric: str = "euclidean"
     angle: float = 0.5
-    max_flows: int = 20_000
+    max_flows: int = 200_000
     losses_: list[float] = field(default_factory=list)
 
     def _mappings(self, frame: FlowFrame, identity, intersection, union, metrics) -> list[tuple[str, tuple[str, ...], tuple[int, ...]]]:
@@ -333,7 +384,7 @@ class FTSNE:
         if kind == "identity" and len(own) > 1:
             own, names = [np.concatenate(own, axis=1)], [self.metric]
         neighbours = min(n - 1, int(3 * self.perplexity + 1)) if self.method == "barnes_hut" else None
-        return cut(joint_tiles(cut(_row_tiles(spark, own, names, self.perplexity, relation, kind, neighbours)), n))
+        return joint_tiles(spark, fitted(spark, Rows(own, names, relation, kind), self.perplexity, neighbours))
 
     def _start(self, values, mappings, n: int) -> np.ndarray:
         width = max(d for _, _, dims in mappings for d in dims) + 1

@@ -106,3 +106,33 @@ def test_divergences():
     assert M.kl_divergence(p, np.maximum(p, 1e-12)) == pytest.approx(0, abs=1e-9)
     assert M.hd_distance(p, p) == 0
     assert M.kl_divergence(np.array([0.5]), np.array([0.25])) == pytest.approx(math.log(2))
+
+
+def test_tiles_are_computed_without_a_join_or_stored_copies(spark, monkeypatch):
+    x = np.random.RandomState(2).randn(300, 4)
+    f = FlowFrame(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], SCHEMA))
+    monkeypatch.setattr(M, "STRIP_CELLS", 30_000)
+    for options, kind, attrs in (({}, "identity", ("o",)), ({"method": "barnes_hut"}, "identity", ("o",)), ({}, "union", ("o", "d")), ({}, "intersection", ("o", "d"))):
+        for relation in ("probability", "distance"):
+            model = M.FTSNE(perplexity=5, **options)
+            ids, values = model._values(f, set(attrs))
+            tiles = model._tiles(f.spark, values, (kind, attrs, (0,)), {}, relation, len(x))
+            plan = tiles._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan and "Exchange" not in plan and "Existing" not in plan
+            got = np.zeros((len(x), len(x)))
+            for r in M.tiles_to_pairs(tiles, ids).collect():
+                got[r["i"], r["j"]] = r["p"]
+            own, each = np.arange(len(x)), [M.sq_distances(x[:, c], x[:, c]) for c in ([0, 1], [2, 3])[: len(attrs)]]
+            if len(attrs) > 1 and relation == "probability":
+                scaled = [sq / M.conditional_p(sq, own, 5)[1][:, None] for sq in each]
+                whole = np.exp(-0.5 * sum(scaled))
+                p = whole if kind == "intersection" else sum(np.exp(-0.5 * s) for s in scaled) - whole
+                np.fill_diagonal(p, 0.0)
+                p /= np.maximum(p.sum(axis=1, keepdims=True), M.EPS)
+            else:
+                sq = np.maximum.reduce(each) if kind == "intersection" else np.minimum.reduce(each)
+                if options:
+                    far = sq + np.where(np.eye(len(x)) > 0, np.inf, 0)
+                    sq = np.where(far <= np.sort(far, axis=1)[:, 15:16], sq, 1e300)
+                p = M.conditional_p(sq, own, 5)[0]
+            assert np.allclose(got, M.make_joint(p), atol=1e-12)
