@@ -304,3 +304,15 @@ def test_zone_points_beside_an_edge_follow_its_cross_product(spark):
     points = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "i long, x double, y double")
     got = Z.spatial_join(points, "x", "y", Z.polygon_zones(spark, {1: ring})).orderBy("i").collect()
     assert want and [r["i"] for r in got] == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_not_copied_or_mirrored(cloud):
+    f, x = cloud
+    pairs = P.pairwise_distances(f, "sum")
+    assert np.allclose(P.to_dense(pairs), matrix(x, "sum")) and "inline" not in plan_of(pairs)
+    assert P.blocks_for(51_282) <= 26  # a flow moves once a block on either side
+    assert np.allclose(P.to_dense(P.pairwise_distances(f, "sum", metric=lambda ax, ay, bx, by: F.abs(ax - bx))), np.abs(x[:, None, 0] - x[None, :, 0]) + np.abs(x[:, None, 2] - x[None, :, 2]))
