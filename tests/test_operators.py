@@ -316,3 +316,13 @@ def test_pairs_are_not_copied_or_mirrored(cloud):
     assert np.allclose(P.to_dense(pairs), matrix(x, "sum")) and "inline" not in plan_of(pairs)
     assert P.blocks_for(51_282) <= 26  # a flow moves once a block on either side
     assert np.allclose(P.to_dense(P.pairwise_distances(f, "sum", metric=lambda ax, ay, bx, by: F.abs(ax - bx))), np.abs(x[:, None, 0] - x[None, :, 0]) + np.abs(x[:, None, 2] - x[None, :, 2]))
+
+
+def test_eps_min_pairs_are_found_once(spark):
+    rng = np.random.RandomState(5)
+    x = rng.randint(0, 6, (60, 4)) / 10
+    got = P.eps_pairs(frame(spark, x.tolist()), 0.1, "min")
+    assert "Aggregate" not in plan_of(got)
+    d = matrix(x, "min")
+    want = sorted((i, j) for i, j in zip(*np.nonzero(d <= 0.1), strict=True) if i != j)
+    assert sorted((r["i"], r["j"]) for r in got.collect()) == want
