@@ -326,3 +326,17 @@ def test_eps_min_pairs_are_found_once(spark):
     d = matrix(x, "min")
     want = sorted((i, j) for i, j in zip(*np.nonzero(d <= 0.1), strict=True) if i != j)
     assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+
+
+def test_nearest_from_tiles_with_ties(spark, monkeypatch):
+    x = np.random.RandomState(6).randint(0, 3, (70, 4)).astype(float)
+    f = frame(spark, x.tolist())
+    ids = [r["flow_id"] for r in f.df.orderBy("flow_id").collect()]
+    for mode in ("max", "sum", "min", "mean"):
+        d = matrix(x, mode)
+        got = P.k_nearest(f.df, 4, P.pair_distance(f, mode), len(x), mode=mode)
+        assert "MapInArrow" in plan_of(got)
+        want = {(ids[i], ids[j], r) for i in range(len(x)) for r, j in enumerate([j for j in np.lexsort((np.arange(len(x)), d[i])) if j != i][:4], 1)}
+        assert {(r["i"], r["j"], r["rank"]) for r in got.collect()} == want
+    assert "MapInArrow" in plan_of(P.k_neighbor_distances(f, 3))
+    assert "MapInArrow" not in plan_of(P.k_neighbor_distances(FlowFrame(f.df.withColumn("ox", F.expr("nullif(ox, 1)"))), 3))
