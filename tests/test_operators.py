@@ -340,3 +340,12 @@ def test_nearest_from_tiles_with_ties(spark, monkeypatch):
         assert {(r["i"], r["j"], r["rank"]) for r in got.collect()} == want
     assert "MapInArrow" in plan_of(P.k_neighbor_distances(f, 3))
     assert "MapInArrow" not in plan_of(P.k_neighbor_distances(FlowFrame(f.df.withColumn("ox", F.expr("nullif(ox, 1)"))), 3))
+
+
+def test_snn_joins_no_rows_of_all_pairs(cloud):
+    f, x = cloud
+    got = P.snn_distance(f, 3)
+    assert not [line for line in plan_of(got).splitlines() if "LeftOuter" in line and "__q" not in line]
+    near = {e: [set([j for j in np.lexsort((np.arange(len(x)), matrix(x, e)[i])) if j != i][:3]) for i in range(len(x))] for e in "od"}
+    want = [[0.0 if i == j else 1 - len(near["o"][i] & near["o"][j]) * len(near["d"][i] & near["d"][j]) / 9 for j in range(len(x))] for i in range(len(x))]
+    assert np.allclose(P.to_dense(got), want)
