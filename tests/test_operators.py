@@ -349,3 +349,12 @@ def test_snn_joins_no_rows_of_all_pairs(cloud):
     near = {e: [set([j for j in np.lexsort((np.arange(len(x)), matrix(x, e)[i])) if j != i][:3]) for i in range(len(x))] for e in "od"}
     want = [[0.0 if i == j else 1 - len(near["o"][i] & near["o"][j]) * len(near["d"][i] & near["d"][j]) / 9 for j in range(len(x))] for i in range(len(x))]
     assert np.allclose(P.to_dense(got), want)
+
+
+def test_curves_count_pairs_in_tiles(cloud, distance):
+    f, x = cloud
+    for mask in (None, (0.1, 0.1, 0.9, 0.9)):
+        got = S._curve(f, 0.1, 1, distance, mask, None, None)[0]
+        assert "MapInArrow" in plan_of(got)
+        want = S._curve(f, 0.1, 1, distance, mask, P.pairwise_distances(f, distance), None)[0]
+        assert got.orderBy("step").collect() == want.orderBy("step").collect()
