@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..frame import ID, FlowFrame
 from ..functions import crs as crs_functions
 from ..functions.flow import EARTH_KM, angle, length
+from ..plans.lineage import cut
 
 TILE = 256
 #: Distances that are held at once while rows are fitted.
@@ -436,9 +437,9 @@ def multivariate_p(frame: FlowFrame, attributes: tuple[str, ...], sq_sigmas: tup
     whole = F.exp(-sum(scaled[1:], scaled[0]))
     each = [F.exp(-s) for s in scaled]
     kernel = whole if combination == "intersection" else sum(each[1:], each[0]) - whole
-    pairs = all_pairs(frame.df, n).filter("i <> j").select("i", "j", kernel.alias("k"))
-    sums = pairs.groupBy("i").agg(F.sum("k").alias("s"))
-    rows = cut(pairs.join(sums, "i").select("i", "j", (F.col("k") / F.col("s")).alias("p")))
-    mirror = rows.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("p").alias("q"))
-    joint = rows.join(mirror, ["i", "j"]).select("i", "j", F.greatest((F.col("p") + F.col("q")) / (2 * n), F.lit(eps)).alias("p"))
+    met = all_pairs(frame.df, n).filter("i <> j")
+    sums = cut(met.select("i", kernel.alias("k")).groupBy("i").agg(F.sum("k").alias("s")))
+    # The kernel is symmetric, so a pair needs the sums of both its flows only, and is not joined with its mirror.
+    summed = frame.df.join(sums.select(F.col("i").alias(ID), F.col("s").alias("__sum")), ID)
+    joint = all_pairs(summed, n, ("__sum",)).filter("i <> j").select("i", "j", F.greatest((kernel / F.col("a___sum") + kernel / F.col("b___sum")) / (2 * n), F.lit(eps)).alias("p"))
     return joint.unionByName(frame.df.select(F.col(ID).alias("i"), F.col(ID).alias("j"), F.lit(0.0).alias("p")))

@@ -1,6 +1,7 @@
 """Flow t-SNE: kernels against plain numpy, and that the loss falls."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -136,3 +137,17 @@ def test_tiles_are_computed_without_a_join_or_stored_copies(spark, monkeypatch):
                     sq = np.where(far <= np.sort(far, axis=1)[:, 15:16], sq, 1e300)
                 p = M.conditional_p(sq, own, 5)[0]
             assert np.allclose(got, M.make_joint(p), atol=1e-12)
+
+
+def test_given_sigmas_need_no_join_of_pairs(flows):
+    f, x = flows
+    for combination in ("intersection", "union"):
+        out = M.multivariate_p(f, ("o", "d"), (0.5, 0.7), combination)
+        assert not re.search(r"Join Inner, \(\(i#\d+L? = i#", out._jdf.queryExecution().optimizedPlan().toString())
+        a, b = M.sq_distances(x[:, :2], x[:, :2]) / 1.0, M.sq_distances(x[:, 2:], x[:, 2:]) / 1.4
+        k = np.exp(-a - b) if combination == "intersection" else np.exp(-a) + np.exp(-b) - np.exp(-a - b)
+        np.fill_diagonal(k, 0.0)
+        got = np.zeros_like(k)
+        for r in out.collect():
+            got[r["i"], r["j"]] = r["p"]
+        assert np.allclose(got, M.make_joint(k / k.sum(axis=1, keepdims=True)))

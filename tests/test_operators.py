@@ -351,6 +351,7 @@ def test_snn_joins_no_rows_of_all_pairs(cloud):
     assert np.allclose(P.to_dense(got), want)
 
 
+@pytest.mark.parametrize("distance", ["max", "mean"])
 def test_curves_count_pairs_in_tiles(cloud, distance):
     f, x = cloud
     for mask in (None, (0.1, 0.1, 0.9, 0.9)):
