@@ -9,7 +9,9 @@ the writer here makes them, are read for all blocks at once.
 A payload is stored without loss in the format's own unit, the quantised
 coefficient: byte b is the coefficient whose JPEG magnitude category is 8 and
 whose extra bits are b itself (b from 128 on stands for b, a smaller one for
-b - 255), 64 to a block.
+b - 255), 64 to a block. Files have a luma component, which takes the first two thirds
+of the payload's blocks, and two of chroma at half its resolution either way, so the
+tensor is made by upsampling and colour conversion as that of any colour file.
 
 Defined results: a null or empty text is one block of zero bytes. Repeated rows
 give repeated equal rows; extra input columns are ignored; an empty table gives
@@ -31,7 +33,9 @@ from .common import bounded_batches, split_columns, text_or_empty
 BLOCK = 64
 #: Blocks that are transformed at once: bounds memory for very long texts.
 CHUNK_BLOCKS = 4096
-MAX_SIDE_BLOCKS = 8191  # 65,535 samples
+MAX_SIDE_MCUS = 4095  # of 16 samples a side: 65,535 at most
+#: Pixels whose colours are converted at once.
+CHUNK_PIXELS = 1 << 18
 COMMENT = b"payload "
 
 # JPEG markers (ITU-T T.81, table B.1).
@@ -73,34 +77,47 @@ def _huffman_segment(kind: int, code: tuple[int, int]) -> bytes:
     return _segment(DHT, bytes([kind << 4]) + counts + bytes([code[1]]))
 
 
-def _scan(first: int, last: int, high: int, low: int) -> bytes:
-    return _segment(SOS, bytes([1, 1, 0, first, last, high << 4 | low]))
+def _scan(component: int, first: int, last: int, high: int, low: int) -> bytes:
+    return _segment(SOS, bytes([1, component, 0, first, last, high << 4 | low]))
+
+
+#: Components of payload files as (sampling, blocks of a minimum coded unit).
+COMPONENTS = ((0x22, 4), (0x11, 1), (0x11, 1))
 
 
 def write_payload(payload: bytes) -> bytes:
-    """A greyscale progressive JPEG whose coefficients are the payload's bytes (their number a positive multiple of 64)."""
+    """A progressive YCbCr JPEG (4:2:0) whose coefficients are the payload's bytes (their number a positive multiple of 64)."""
     n = len(payload) // BLOCK
-    width = min(n, max(16, -(-n // MAX_SIDE_BLOCKS)))
-    height = -(-n // width)
-    if not n or len(payload) % BLOCK or width > MAX_SIDE_BLOCKS:
+    mcus = -(-n // sum(blocks for _, blocks in COMPONENTS))
+    width = min(mcus, max(8, -(-mcus // MAX_SIDE_MCUS)))
+    height = -(-mcus // width) if mcus else 0
+    if not n or len(payload) % BLOCK or width > MAX_SIDE_MCUS:
         raise ValueError(f"{len(payload)} bytes don't make one image")
-    values = np.zeros((width * height, BLOCK), np.uint8)
-    values.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
-    # DC: a restart behind each block makes every difference the value itself: 8 zero bits, then b.
-    dc = np.zeros((len(values), 4), np.uint8)
-    dc[:, 1], dc[:, 2], dc[:, 3] = values[:, 0], 0xFF, RST0 + np.arange(len(values)) % 8
-    units = dc.tobytes()[:-2] if 0xFF not in values[:, 0] else b"".join(r[:2].replace(b"\xff", b"\xff\0") + r[2:] for r in map(bytes, dc))[:-2]
-    # AC without the lowest magnitude bit: one zero bit, then b >> 1. AC lowest bits: one zero bit, then 63 corrections;
-    # a negative value's magnitude is 255 - b, so its bit is turned round.
-    ac = values[:, 1:]
-    bits = np.zeros(values.shape, np.uint8)
-    bits[:, 1:] = (ac ^ (ac >> 7) ^ 1) & 1
+    held = np.zeros((width * height * sum(blocks for _, blocks in COMPONENTS), BLOCK), np.uint8)
+    held.reshape(-1)[: len(payload)] = np.frombuffer(payload, np.uint8)
+    borders = np.cumsum([0, *(width * height * blocks for _, blocks in COMPONENTS)])
+    parts = [held[at:to] for at, to in zip(borders, borders[1:], strict=False)]
+    scans = [[], [], []]  # first values of DC, all but the lowest bit of AC, that bit
+    for k, values in enumerate(parts, 1):
+        # DC: a restart behind each block makes every difference the value itself: 8 zero bits, then b.
+        dc = np.zeros((len(values), 4), np.uint8)
+        dc[:, 1], dc[:, 2], dc[:, 3] = values[:, 0], 0xFF, RST0 + np.arange(len(values)) % 8
+        units = dc.tobytes()[:-2] if 0xFF not in values[:, 0] else b"".join(r[:2].replace(b"\xff", b"\xff\0") + r[2:] for r in map(bytes, dc))[:-2]
+        # AC without the lowest magnitude bit: one zero bit, then b >> 1. AC lowest bits: one zero bit, then 63 corrections;
+        # a negative value's magnitude is 255 - b, so its bit is turned round.
+        ac = values[:, 1:]
+        bits = np.zeros(values.shape, np.uint8)
+        bits[:, 1:] = (ac ^ (ac >> 7) ^ 1) & 1
+        scans[0] += [_scan(k, 0, 0, 0, 0), units]
+        scans[1] += [_scan(k, 1, 63, 0, 1), (ac >> 1).tobytes()]
+        scans[2] += [_scan(k, 1, 63, 1, 0), np.packbits(bits, axis=1).tobytes().replace(b"\xff", b"\xff\0")]
+    frame = b"".join(bytes([k, sampling, 0]) for k, (sampling, _) in enumerate(COMPONENTS, 1))
     return b"".join([
         bytes([0xFF, SOI]), _segment(COM, COMMENT + str(len(payload)).encode()), _segment(DQT, b"\0" + b"\1" * BLOCK),
-        _segment(SOF2, b"\x08" + (8 * height).to_bytes(2, "big") + (8 * width).to_bytes(2, "big") + b"\1\1\x11\0"),
-        _huffman_segment(0, DC_CODE), _segment(DRI, b"\0\1"), _scan(0, 0, 0, 0), units, _segment(DRI, b"\0\0"),
-        _huffman_segment(1, AC_FIRST_CODE), _scan(1, 63, 0, 1), (ac >> 1).tobytes(),
-        _huffman_segment(1, AC_LAST_CODE), _scan(1, 63, 1, 0), np.packbits(bits, axis=1).tobytes().replace(b"\xff", b"\xff\0"),
+        _segment(SOF2, b"\x08" + (16 * height).to_bytes(2, "big") + (16 * width).to_bytes(2, "big") + bytes([len(COMPONENTS)]) + frame),
+        _huffman_segment(0, DC_CODE), _segment(DRI, b"\0\1"), *scans[0], _segment(DRI, b"\0\0"),
+        _huffman_segment(1, AC_FIRST_CODE), *scans[1],
+        _huffman_segment(1, AC_LAST_CODE), *scans[2],
         bytes([0xFF, EOI]),
     ])
 
@@ -108,8 +125,7 @@ def write_payload(payload: bytes) -> bytes:
 def read_payload(image: Image) -> bytes:
     """The payload back from the coefficients."""
     n = int(next(c for c in image.comments if c.startswith(COMMENT))[len(COMMENT) :])
-    v = image.components[0].coefficients
-    return np.where(v < 0, v + 255, v).astype(np.uint8).tobytes()[:n]
+    return b"".join(np.where(c.coefficients < 0, c.coefficients + 255, c.coefficients).astype(np.uint8).tobytes() for c in image.components)[:n]
 
 
 # ---------------------------------------------------------------- reader
@@ -368,12 +384,17 @@ class Image:
             planes.append(p[: self.height, : self.width])
         if len(planes) == 1:
             return np.broadcast_to(planes[0][:, :, None], (self.height, self.width, 3))
-        y, cb, cr = (p.astype(np.float32) for p in planes)
-        cb -= 128
-        cr -= 128
-        # ITU-R BT.601 full range, as JFIF has it.
-        rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
-        return np.clip(rgb + 0.5, 0, 255).astype(np.uint8)
+        out = np.empty((self.height, self.width, 3), np.uint8)
+        step = max(1, CHUNK_PIXELS // self.width)
+        for at in range(0, self.height, step):
+            y, cb, cr = (p[at : at + step].astype(np.float32) for p in planes)
+            cb -= 128
+            cr -= 128
+            # ITU-R BT.601 full range, as JFIF has it.
+            for k, channel in enumerate((y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb)):
+                channel += 0.5
+                out[at : at + step, :, k] = np.clip(channel, 0, 255, out=channel)
+        return out
 
 
 # ---------------------------------------------------------------- columns

@@ -190,6 +190,22 @@ def test_fast_reading_equals_the_plain_reader(monkeypatch):
         assert (plain.components[0].coefficients == fast.components[0].coefficients).all()
 
 
+def test_payload_files_are_subsampled_colour(monkeypatch):
+    for data in (os.urandom(64 * 75), os.urandom(64 * 700), bytes(64)):
+        media = progressive_jpeg.write_payload(data)
+        image = progressive_jpeg.Image(media)
+        assert [(c.h, c.v) for c in image.components] == [(2, 2), (1, 1), (1, 1)] and progressive_jpeg.read_payload(image) == data
+        y, cb, cr = (image.plane(c).astype(np.float32) for c in image.components)
+        assert y.shape == (2 * cb.shape[0], 2 * cb.shape[1]) == (image.height, image.width)
+        cb, cr = (p.repeat(2, axis=0).repeat(2, axis=1) - 128 for p in (cb, cr))
+        want = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+        assert (image.rgb() == np.clip(want + 0.5, 0, 255).astype(np.uint8)).all()
+        with monkeypatch.context() as m:
+            m.setattr(progressive_jpeg.Image, "_uniform", lambda *a: False)
+            plain = progressive_jpeg.Image(media)
+        assert all((a.coefficients == b.coefficients).all() for a, b in zip(image.components, plain.components, strict=True))
+
+
 def _by_the_jvm(spark, rgb=None, data=None):
     """Write a progressive 4:2:0 file, or read one, with the JVM's own codec."""
     jvm = spark.sparkContext._jvm
