@@ -359,3 +359,31 @@ def test_curves_count_pairs_in_tiles(cloud, distance):
         assert "MapInArrow" in plan_of(got)
         want = S._curve(f, 0.1, 1, distance, mask, P.pairwise_distances(f, distance), None)[0]
         assert got.orderBy("step").collect() == want.orderBy("step").collect()
+
+
+def test_written_pairs_hold_a_distance_once(spark, tmp_path):
+    x = np.random.RandomState(6).rand(700, 4)
+    out = str(tmp_path / "pairs")
+    P.pairwise_distances(frame(spark, x.tolist()), "max").coalesce(1).write.parquet(out)
+    assert spark.read.parquet(out).count() == 700 * 700
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 6 * 700 * 700  # nearly nine bytes a row if each order has its own
+
+
+def test_pairs_in_numpy_equal_the_expressions(spark, monkeypatch):
+    x = np.round(np.random.RandomState(7).rand(70, 4), 2)
+    x[3], x[4], x[5, 2:], x[6, 2:] = x[2], [0.1, 0.1, 0.1, 0.1], x[5, :2], x[6, :2]
+    monkeypatch.setattr(P, "RUN_FLOWS", 8)
+    monkeypatch.setattr(P, "BLOCK_FLOWS", 30)
+    flows = frame(spark, x.tolist())
+    for mode, metric, use_length in (*((m, "euclidean", False) for m in ("max", "sum", "min", "mean", "weighted")), *(("weighted", m, True) for m in P.METRICS)):
+        got = {(r["i"], r["j"]): r["dist"] for r in P.pairwise_distances(flows, mode, metric, 0.3, 0.7, use_length).collect()}
+        dist = P.pair_distance(flows, mode, metric, 0.3, 0.7, use_length)
+        want = {(r["i"], r["j"]): r["dist"] if r["i"] != r["j"] else 0.0 for r in P.all_pairs(flows.df).select("i", "j", dist.alias("dist")).collect()}
+        assert got.keys() == want.keys() and len(got) == 70 * 70
+        keys = sorted(got)
+        np.testing.assert_allclose([got[k] for k in keys], [want[k] for k in keys], rtol=1e-13 if metric == "haversine" else 0, atol=0)
+
+
+def test_pairs_of_flows_without_a_coordinate(spark):
+    got = P.pairwise_distances(FlowFrame(spark.createDataFrame([(0, 0.0, 0.0, 0.0, 0.0), (1, 3.0, 4.0, None, 1.0)], SCHEMA), 3857), "max").collect()
+    assert sorted((r["i"], r["j"], r["dist"]) for r in got) == [(0, 0, 0.0), (0, 1, 5.0), (1, 0, 5.0), (1, 1, 0.0)]
