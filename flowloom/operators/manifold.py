@@ -6,6 +6,11 @@ sum); tiles are then computed from the two flows' rows where they are used and a
 stored, joined or gathered. An iteration is one Spark job over the tiles with the current
 embedding; tasks return sums per block of rows. Attribute values, rows' fits and the
 embedding (n x a few doubles) go to every task, so n is checked against max_flows.
+
+A mapping to one dimension with one distance needs no tiles: its joint probabilities are
+the floor eps but for near flows, which are written once. An iteration reads those alone;
+what all pairs have in common (the floor's pull, the push, the normaliser) is a sum of
+smooth kernels along a line, taken through Chebyshev nodes to about 13 digits.
 """
 
 from __future__ import annotations
@@ -26,6 +31,11 @@ from ..plans.lineage import cut
 TILE = 256
 #: Distances that are held at once while rows are fitted.
 STRIP_CELLS = 1_000_000
+#: Rows are fitted on this many nearest flows a unit of perplexity, if the rest are sure not to matter.
+FIT_NEAREST = 24
+#: Chebyshev nodes of a box of a line, and the most boxes; kernels have poles at a distance of a box's greatest width.
+NODES = 24
+MOST_BOXES = 2_048
 EPS = float(np.finfo(np.float64).eps)
 #: The gradient's factor: 4 of the derivation, times 4 as the parity rule has it.
 GRADIENT_FACTOR = 16.0
@@ -42,11 +52,20 @@ def sq_distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.
         return (2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(h, 1.0)))) ** 2
     if metric == "cityblock":
         return np.abs(a[:, None, :] - b[None, :, :]).sum(axis=2) ** 2
-    return ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
+    out = np.zeros((len(a), len(b)))
+    for x, z in zip(a.T, b.T, strict=True):
+        each = x[:, None] - z[None, :]
+        each *= each
+        out += each
+    return out
+
 
+def fit_rows(sq: np.ndarray, own: np.ndarray, perplexity: float, steps: int = 100, tol: float = 1e-5, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities, and for each row sigma^2 = 1 / (2 beta), beta, shift and sum: p = exp(-(sq - shift) * beta) / sum. By bisection; own[r] is row r's own column.
 
-def fit_rows(sq: np.ndarray, own: np.ndarray, perplexity: float, steps: int = 100, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Probabilities, and for each row sigma^2 = 1 / (2 beta), beta, shift and sum: p = exp(-(sq - shift) * beta) / sum. By bisection; own[r] is row r's own column."""
+    Last, is a row sure to be what it is with left_out more columns, none nearer than those
+    here? Such columns only raise an entropy, and below the target they must be negligible.
+    """
     rows = np.arange(len(sq))
     target = math.log(perplexity)
     beta, low, high = np.ones(len(sq)), np.full(len(sq), -np.inf), np.full(len(sq), np.inf)
@@ -56,6 +75,7 @@ def fit_rows(sq: np.ndarray, own: np.ndarray, perplexity: float, steps: int = 10
     shifted -= shift[:, None]
     shifted[rows, own] = 0.0
     p, used, total = np.zeros_like(sq), beta, np.full(len(sq), EPS)
+    edge, sure, negligible = shifted.max(axis=1), np.ones(len(sq), dtype=bool), np.ones(len(sq), dtype=bool)
     for _ in range(steps):
         used = beta
         p = np.exp(-shifted * beta[:, None])
@@ -64,12 +84,14 @@ def fit_rows(sq: np.ndarray, own: np.ndarray, perplexity: float, steps: int = 10
         entropy = np.log(total) + beta * (shifted * p).sum(axis=1) / total
         p /= total[:, None]
         off = entropy - target
+        negligible = left_out * np.exp(-edge * beta) * (1 + edge * beta) <= 1e-15 * total
+        sure &= negligible | (off > tol)
         if (np.abs(off) <= tol).all():
             break
         up, down = off > tol, off < -tol
         low[up], high[down] = beta[up], beta[down]
         beta = np.where(up, np.where(np.isinf(high), beta * 2, (beta + high) / 2), np.where(down, np.where(np.isinf(low), beta / 2, (beta + low) / 2), beta))
-    return p, 1 / (2 * beta), used, shift, total
+    return p, 1 / (2 * beta), used, shift, total, sure & negligible
 
 
 def conditional_p(sq: np.ndarray, own: np.ndarray, perplexity: float, steps: int = 100, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +178,18 @@ class Rows:
                 held[at, rows] = np.inf
                 edge = np.partition(held, neighbours - 1, axis=1)[:, neighbours - 1]
                 sq = np.where(held <= edge[:, None], sq, 1e300)
-            return [*fit_rows(sq, rows, perplexity)[2:], edge]
+                return [*fit_rows(sq, rows, perplexity)[2:5], edge]
+            nearest = math.ceil(FIT_NEAREST * perplexity)
+            if nearest >= sq.shape[1] // 2:
+                return [*fit_rows(sq, rows, perplexity)[2:5], edge]
+            sq[at, rows] = np.inf
+            near = np.concatenate([np.zeros((len(rows), 1)), np.partition(sq, nearest - 1, axis=1)[:, :nearest]], axis=1)
+            sq[at, rows] = 0.0
+            *fits, sure = fit_rows(near, np.zeros(len(rows), dtype=int), perplexity, left_out=sq.shape[1] - 1 - nearest)[2:]
+            if not sure.all():
+                for f, whole in zip(fits, fit_rows(sq[~sure], rows[~sure], perplexity)[2:5], strict=True):
+                    f[~sure] = whole
+            return [*fits, edge]
         sigma2 = [fit_rows(sq, rows, perplexity)[1] for sq in each]
         p = self.combined(each, sigma2)
         p[at, rows] = 0.0
@@ -181,6 +214,19 @@ class Rows:
             np.fill_diagonal(out, 0.0)
         return out
 
+    def above(self, rows: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row (of rows), column and value of the joint matrix's elements above its floor eps, if there is one distance."""
+        n, (beta, shift, total, edge) = len(self.values[0]), self.fits
+        # Beyond this square a row gives less than eps / 2 to the mean of both rows' probabilities.
+        with np.errstate(divide="ignore"):
+            reach = np.minimum(edge, (shift - np.log(n * eps * total) / beta) * (1 + 1e-9) + 1e-300)
+        sq = self.squares(rows, slice(None))[0]
+        a, j = np.nonzero(sq <= np.maximum(reach[rows, None], reach[None, :]))
+        i, sq = rows[a], sq[a, j]
+        a, i, j, sq = (x[i != j] for x in (a, i, j, sq))
+        p = sum(np.where(sq <= edge[k], np.exp(-(sq - shift[k]) * beta[k]), 0.0) / total[k] for k in (i, j)) / (2 * n)
+        return a[p > eps], j[p > eps], p[p > eps]
+
 
 def fitted(spark, rows: Rows, perplexity: float, neighbours: int | None) -> Rows:
     """The same with its rows' fits, a few doubles each. Rows are fitted in strips of bounded size."""
@@ -219,6 +265,100 @@ def joint_tiles(spark, rows: Rows, eps: float = 1e-10) -> DataFrame:
     return spark.range(0, blocks * blocks, 1, min(blocks * blocks, max(2, spark.sparkContext.defaultParallelism))).mapInPandas(run, TILES)
 
 
+def near_table(spark, mappings: list[Rows], eps: float = 1e-10) -> DataFrame:
+    """(m, first, counts, columns, p): what joint matrices have above their floor, in strips of rows, written once."""
+    n = len(mappings[0].values[0])
+    step = max(1, min(TILE, STRIP_CELLS // n))
+    strips = -(-n // step)
+    shared = spark.sparkContext.broadcast(mappings)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for m, k in (divmod(int(x), strips) for x in pdf["id"]):
+                rows = np.arange(k * step, min(n, (k + 1) * step))
+                a, j, p = shared.value[m].above(rows, eps)
+                counts = np.bincount(a, minlength=len(rows))
+                yield pd.DataFrame({"m": [m], "first": [k * step], "counts": [counts.astype(np.int64).tobytes()], "columns": [j.astype(np.int32).tobytes()], "p": [p.tobytes()]})
+
+    tasks = min(len(mappings) * strips, max(2, 2 * spark.sparkContext.defaultParallelism))
+    return cut(spark.range(0, len(mappings) * strips, 1, tasks).mapInPandas(run, "m int, first int, counts binary, columns binary, p binary"))
+
+
+def line_sums(y: np.ndarray, kernels: list) -> list[np.ndarray] | None:
+    """Each kernel's sum over the differences of a point to all, itself included; None if the line is too long.
+
+    Kernels are smooth functions of a difference with poles at 1 from the real axis. Points
+    give their weight to Chebyshev nodes of boxes of at most width 1; nodes meet by Fourier
+    transforms over boxes. The error falls by 4.2 a node.
+    """
+    low, span = float(y.min()), float(np.ptp(y))
+    if not span <= MOST_BOXES:
+        return None
+    boxes = max(1, math.ceil(span))
+    width = span / boxes or 1.0
+    at = (y - low) / width
+    box = np.minimum(at.astype(int), boxes - 1)
+    angles = (np.arange(NODES) + 0.5) * math.pi / NODES
+    order = np.arange(NODES)
+    weights = np.where(order > 0, 2.0, 1.0)[:, None] / NODES * np.cos(order[:, None] * angles[None, :])
+    basis = np.cos(order[None, :] * np.arccos(np.clip(2 * (at - box) - 1, -1, 1))[:, None]) @ weights
+    charges = np.stack([np.bincount(box, basis[:, k], boxes) for k in range(NODES)], axis=1)
+    nodes = np.cos(angles) / 2
+    steps = np.concatenate([np.arange(boxes), [0], np.arange(1 - boxes, 0)])  # around; the one between is not used
+    differences = width * (steps[:, None, None] + nodes[None, :, None] - nodes[None, None, :])
+    out = []
+    for kernel in kernels:
+        if boxes == 1:
+            met = (kernel(differences[0]) @ charges[0])[None, :]
+        else:
+            spectrum = np.fft.rfft(kernel(differences), axis=0)
+            met = np.fft.irfft(np.einsum("fab,fb->fa", spectrum, np.fft.rfft(charges, n=2 * boxes, axis=0)), n=2 * boxes, axis=0)[:boxes]
+        out.append((basis * met[box]).sum(axis=1))
+    return out
+
+
+#: Of a difference: the weight, the pull of the floor, the push, the weight's logarithm.
+KERNELS = [lambda d: 1 / (1 + d * d), lambda d: d / (1 + d * d), lambda d: d / (1 + d * d) ** 2, lambda d: -np.log1p(d * d)]
+
+
+def line_gradients(near: DataFrame, ys: list[np.ndarray], exaggeration: float = 1.0, eps: float = 1e-10) -> list[tuple[np.ndarray, float]] | None:
+    """gradient() with the kl loss of mappings to one dimension each, from near_table and the sums along their lines; None if a line is too long for those."""
+    sums = [line_sums(y, KERNELS) for y in ys]
+    if any(s is None for s in sums):
+        return None
+    n, floor = len(ys[0]), eps * exaggeration
+    shared = near.sparkSession.sparkContext.broadcast(ys)
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for m, first, counts, columns, p in zip(pdf["m"], pdf["first"], pdf["counts"], pdf["columns"], pdf["p"], strict=True):
+                counts, y = np.frombuffer(counts, dtype=np.int64), shared.value[m]
+                a = np.repeat(np.arange(len(counts)), counts)
+                d, p = y[first + a] - y[np.frombuffer(columns, dtype=np.int32)], np.frombuffer(p) * exaggeration
+                square = 1 + d * d
+                pull = np.bincount(a, (p - floor) * d / square, len(counts))
+                out.append((m, first, pull.tobytes(), float((p * np.log(p)).sum() - len(p) * floor * math.log(floor) + ((p - floor) * np.log(square)).sum())))
+            yield pd.DataFrame(out, columns=["m", "first", "pull", "kl"])
+
+    pulls, kls = [floor * s[1] for s in sums], [0.0] * len(ys)
+    for row in near.mapInPandas(run, "m int, first int, pull binary, kl double").collect():  # n doubles a mapping
+        part = np.frombuffer(row["pull"])
+        pulls[row["m"]][row["first"] : row["first"] + len(part)] += part
+        kls[row["m"]] += row["kl"]
+    shared.unpersist()
+    out = []
+    for (weight, _, push, logs), pull, kl in zip(sums, pulls, kls, strict=True):
+        z = float((weight - 1).sum())
+        kl += n * (n - 1) * floor * math.log(floor) - floor * float(logs.sum())
+        out.append((GRADIENT_FACTOR * (pull - exaggeration * push / z), kl + exaggeration * math.log(z)))
+    return out
+
+
 def tiles_to_pairs(tiles: DataFrame, ids: list[int]) -> DataFrame:
     """(i, j, p) of a tiled matrix."""
     n = len(ids)
@@ -351,7 +491,10 @@ class FTSNE:
         if not 1 <= self.perplexity < n:
             raise ValueError("perplexity must be at least 1 and less than the number of flows")
         ids, values = self._values(frame, {a for _, attrs, _ in mappings for a in attrs})
-        tiles = [self._tiles(frame.spark, values, m, metrics or {}, relation, n) for m in mappings]
+        rows = [self._rows(frame.spark, values, m, metrics or {}, relation, n) for m in mappings]
+        tiles = [joint_tiles(frame.spark, r) for r in rows]
+        lines = [k for k, (r, m) in enumerate(zip(rows, mappings, strict=True)) if loss == "kl" and r.joined and len(m[2]) == 1]
+        near = near_table(frame.spark, [rows[k] for k in lines]) if lines else None
         dims = [list(m[2]) for m in mappings]
         y = self._start(values, mappings, n)
         self.losses_ = []
@@ -361,8 +504,10 @@ class FTSNE:
             optimizer = GDOptimizer(lr, momentum)
             for at in range(steps):
                 parts, total = [], 0.0
-                for t, d in zip(tiles, dims, strict=True):
-                    g, value = gradient(t, y[:, d], exaggeration, loss)
+                along = line_gradients(near, [y[:, dims[k][0]] for k in lines], exaggeration) if lines else None
+                known = {k: (g[:, None], value) for k, (g, value) in zip(lines, along, strict=True)} if along else {}
+                for k, (t, d) in enumerate(zip(tiles, dims, strict=True)):
+                    g, value = known[k] if k in known else gradient(t, y[:, d], exaggeration, loss)
                     full = np.zeros_like(y)
                     full[:, d] = g
                     parts.append(full)
@@ -374,6 +519,9 @@ class FTSNE:
         return frame.spark.createDataFrame(rows, ", ".join([f"{ID} long", *(f"e{k} double" for k in range(y.shape[1]))]))
 
     def _tiles(self, spark, values, mapping, metrics, relation: str, n: int) -> DataFrame:
+        return joint_tiles(spark, self._rows(spark, values, mapping, metrics, relation, n))
+
+    def _rows(self, spark, values, mapping, metrics, relation: str, n: int) -> Rows:
         kind, attrs, _ = mapping
         own, names = [], []
         for a in attrs:
@@ -385,7 +533,7 @@ class FTSNE:
         if kind == "identity" and len(own) > 1:
             own, names = [np.concatenate(own, axis=1)], [self.metric]
         neighbours = min(n - 1, int(3 * self.perplexity + 1)) if self.method == "barnes_hut" else None
-        return joint_tiles(spark, fitted(spark, Rows(own, names, relation, kind), self.perplexity, neighbours))
+        return fitted(spark, Rows(own, names, relation, kind), self.perplexity, neighbours)
 
     def _start(self, values, mappings, n: int) -> np.ndarray:
         width = max(d for _, _, dims in mappings for d in dims) + 1

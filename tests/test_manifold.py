@@ -151,3 +151,51 @@ def test_given_sigmas_need_no_join_of_pairs(flows):
         for r in out.collect():
             got[r["i"], r["j"]] = r["p"]
         assert np.allclose(got, M.make_joint(k / k.sum(axis=1, keepdims=True)))
+
+
+def test_line_sums_equal_all_differences():
+    rng = np.random.RandomState(3)
+    for scale in (1e-4, 0.2, 3.0, 40.0):
+        y = np.concatenate([rng.randn(200), [0.0, 0.0]]) * scale
+        d = y[:, None] - y[None, :]
+        for got, kernel in zip(M.line_sums(y, M.KERNELS), M.KERNELS, strict=True):
+            want = kernel(d).sum(axis=1)
+            assert np.allclose(got, want, rtol=1e-10, atol=1e-11 * np.abs(kernel(d)).max() * len(y))
+    assert M.line_sums(np.array([0.0, 1e9]), M.KERNELS) is None
+
+
+@pytest.mark.parametrize("options", [{}, {"method": "barnes_hut"}])
+def test_near_flows_and_lines_equal_the_dense_matrix(spark, monkeypatch, options):
+    x = np.random.RandomState(4).randn(400, 4)
+    x[:40] = x[0]  # copies: more than the perplexity
+    f = FlowFrame(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], SCHEMA))
+    monkeypatch.setattr(M, "STRIP_CELLS", 30_000)
+    model = M.FTSNE(perplexity=5, **options)
+    _, values = model._values(f, {"o", "d"})
+    rows = [model._rows(spark, values, ("identity", (a,), (k,)), {}, "probability", len(x)) for k, a in enumerate("od")]
+    near = M.near_table(spark, rows)
+    for scale, exaggeration in ((1e-4, 12.0), (2.0, 1.0)):
+        y = np.random.RandomState(5).randn(len(x), 2) * scale
+        for k, (g, value) in enumerate(M.line_gradients(near, [y[:, 0], y[:, 1]], exaggeration)):
+            want, loss = M.gradient(M.joint_tiles(spark, rows[k]), y[:, [k]], exaggeration)
+            assert np.allclose(g, want[:, 0], rtol=1e-9, atol=1e-9 * np.abs(want).max()) and value == pytest.approx(loss, rel=1e-9)
+    if not options:
+        own = np.arange(len(x))
+        p = M.conditional_p(M.sq_distances(x[:, :2], x[:, :2]), own, 5)[0]
+        tiles = M.joint_tiles(spark, rows[0])
+        got = np.zeros((len(x), len(x)))
+        for r in M.tiles_to_pairs(tiles, own.tolist()).collect():
+            got[r["i"], r["j"]] = r["p"]
+        assert np.allclose(got, M.make_joint(p), atol=1e-12)
+
+
+def test_one_dimension_takes_no_tiles(flows, monkeypatch):
+    f, _ = flows
+    plain = M.FTSNE(perplexity=5, max_iter=12, random_state=0)
+    with monkeypatch.context() as m:
+        m.setattr(M, "line_gradients", lambda *a: None)
+        want = plain.fit_transform(f, identity={"o": 0, "d": 1}) and plain.embedding_
+    monkeypatch.setattr(M, "gradient", None)
+    model = M.FTSNE(perplexity=5, max_iter=12, random_state=0)
+    model.fit_transform(f, identity={"o": 0, "d": 1})
+    assert np.allclose(model.embedding_, want, rtol=1e-7, atol=1e-12) and np.allclose(model.losses_, plain.losses_)
