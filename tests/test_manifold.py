@@ -199,3 +199,12 @@ def test_one_dimension_takes_no_tiles(flows, monkeypatch):
     model = M.FTSNE(perplexity=5, max_iter=12, random_state=0)
     model.fit_transform(f, identity={"o": 0, "d": 1})
     assert np.allclose(model.embedding_, want, rtol=1e-7, atol=1e-12) and np.allclose(model.losses_, plain.losses_)
+
+
+def test_query_runs_all_iterations(spark, monkeypatch):
+    from flowloom import catalog
+
+    made = []
+    monkeypatch.setattr(M.FTSNE, "fit_transform", lambda self, *a, **b: made.append(self))
+    catalog.QUERIES["ftsne"](spark, "/root/testdata/sf0.001")
+    assert made[0].max_iter == M.FTSNE().max_iter == 100
