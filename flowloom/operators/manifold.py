@@ -33,6 +33,8 @@ TILE = 256
 STRIP_CELLS = 1_000_000
 #: Rows are fitted on this many nearest flows a unit of perplexity, if the rest are sure not to matter.
 FIT_NEAREST = 24
+#: These are sought among so many times as many flows, those nearest to a strip of rows.
+FIT_AMONG = 8
 #: Chebyshev nodes of a box of a line, and the most boxes; kernels have poles at a distance of a box's greatest width.
 NODES = 24
 MOST_BOXES = 2_048
@@ -164,12 +166,62 @@ class Rows:
             each = [np.maximum.reduce(each) if self.combination == "intersection" else np.minimum.reduce(each)]
         return each
 
+    @property
+    def boxed(self) -> bool:
+        """Do boxes around values bound their distances?"""
+        return len(self.values) == 1 and self.metrics[0] == "euclidean"
+
+    def order(self, step: int) -> np.ndarray:
+        """All rows, strips of near ones beside each other: halves of the widest coordinate, again and again."""
+        out = np.arange(len(self.values[0]))
+        todo = [(0, len(out))] if self.boxed and np.isfinite(self.values[0]).all() else []
+        while todo:
+            first, last = todo.pop()
+            own = out[first:last]
+            half = -(-len(own) // step) // 2 * step
+            if half:
+                v = self.values[0][own]
+                out[first:last] = own[np.argpartition(v[:, np.ptp(v, axis=0).argmax()], half)]
+                todo += [(first, first + half), (first + half, last)]
+        return out
+
+    def gaps(self, rows: np.ndarray) -> np.ndarray:
+        """Of all columns, a square that none of these rows' distances is below."""
+        v, own = self.values[0], self.values[0][rows]
+        return sum(np.maximum(np.maximum(low - x, x - high), 0.0) ** 2 for low, high, x in zip(own.min(axis=0), own.max(axis=0), v.T, strict=True))
+
     def combined(self, each: list[np.ndarray], sigma2: list[np.ndarray]) -> np.ndarray:
         scaled = [sq / s[:, None] for sq, s in zip(each, sigma2, strict=True)]
         whole = np.exp(-0.5 * sum(scaled))
         return whole if self.combination == "intersection" else sum(np.exp(-0.5 * s) for s in scaled) - whole
 
+    def fit_near(self, rows: np.ndarray, perplexity: float) -> list[np.ndarray] | None:
+        """fit() from the rows' nearest flows, on all flows where those aren't sure to do; None if there are few flows."""
+        n, nearest, at = len(self.values[0]), math.ceil(FIT_NEAREST * perplexity), np.arange(len(rows))
+        if nearest >= n // 2:
+            return None
+        columns, bound, own = slice(None), np.inf, rows
+        among = FIT_AMONG * nearest + len(rows)
+        if self.boxed and among < n:
+            gaps = self.gaps(rows)
+            by_gap = np.argpartition(gaps, among)
+            place = np.full(n, -1)
+            place[by_gap[:among]] = np.arange(among)
+            if (place[rows] >= 0).all():
+                columns, bound, own = by_gap[:among], gaps[by_gap[among]], place[rows]
+        sq = self.squares(rows, columns)[0]
+        sq[at, own] = np.inf
+        near = np.concatenate([np.zeros((len(rows), 1)), np.partition(sq, nearest - 1, axis=1)[:, :nearest]], axis=1)
+        *fits, sure = fit_rows(near, np.zeros(len(rows), dtype=int), perplexity, left_out=n - 1 - nearest)[2:]
+        sure &= near.max(axis=1) <= bound
+        if not sure.all():
+            for f, whole in zip(fits, fit_rows(self.squares(rows[~sure], slice(None))[0], rows[~sure], perplexity)[2:5], strict=True):
+                f[~sure] = whole
+        return [*fits, np.full(len(rows), np.inf)]
+
     def fit(self, rows: np.ndarray, perplexity: float, neighbours: int | None) -> list[np.ndarray]:
+        if self.joined and (neighbours is None or neighbours >= len(self.values[0]) - 1) and (near := self.fit_near(rows, perplexity)):
+            return near
         each, at = self.squares(rows, slice(None)), np.arange(len(rows))
         if self.joined:
             sq, edge = each[0], np.full(len(rows), np.inf)
@@ -178,18 +230,7 @@ class Rows:
                 held[at, rows] = np.inf
                 edge = np.partition(held, neighbours - 1, axis=1)[:, neighbours - 1]
                 sq = np.where(held <= edge[:, None], sq, 1e300)
-                return [*fit_rows(sq, rows, perplexity)[2:5], edge]
-            nearest = math.ceil(FIT_NEAREST * perplexity)
-            if nearest >= sq.shape[1] // 2:
-                return [*fit_rows(sq, rows, perplexity)[2:5], edge]
-            sq[at, rows] = np.inf
-            near = np.concatenate([np.zeros((len(rows), 1)), np.partition(sq, nearest - 1, axis=1)[:, :nearest]], axis=1)
-            sq[at, rows] = 0.0
-            *fits, sure = fit_rows(near, np.zeros(len(rows), dtype=int), perplexity, left_out=sq.shape[1] - 1 - nearest)[2:]
-            if not sure.all():
-                for f, whole in zip(fits, fit_rows(sq[~sure], rows[~sure], perplexity)[2:5], strict=True):
-                    f[~sure] = whole
-            return [*fits, edge]
+            return [*fit_rows(sq, rows, perplexity)[2:5], edge]
         sigma2 = [fit_rows(sq, rows, perplexity)[1] for sq in each]
         p = self.combined(each, sigma2)
         p[at, rows] = 0.0
@@ -220,9 +261,12 @@ class Rows:
         # Beyond this square a row gives less than eps / 2 to the mean of both rows' probabilities.
         with np.errstate(divide="ignore"):
             reach = np.minimum(edge, (shift - np.log(n * eps * total) / beta) * (1 + 1e-9) + 1e-300)
-        sq = self.squares(rows, slice(None))[0]
-        a, j = np.nonzero(sq <= np.maximum(reach[rows, None], reach[None, :]))
-        i, sq = rows[a], sq[a, j]
+        columns = np.arange(n)
+        if self.boxed:
+            columns = np.flatnonzero(~(self.gaps(rows) > np.maximum(reach[rows].max(), reach)))
+        sq = self.squares(rows, columns)[0]
+        a, j = np.nonzero(sq <= np.maximum(reach[rows, None], reach[None, columns]))
+        i, j, sq = rows[a], columns[j], sq[a, j]
         a, i, j, sq = (x[i != j] for x in (a, i, j, sq))
         p = sum(np.where(sq <= edge[k], np.exp(-(sq - shift[k]) * beta[k]), 0.0) / total[k] for k in (i, j)) / (2 * n)
         return a[p > eps], j[p > eps], p[p > eps]
@@ -233,20 +277,24 @@ def fitted(spark, rows: Rows, perplexity: float, neighbours: int | None) -> Rows
     n = len(rows.values[0])
     step = max(1, min(TILE, STRIP_CELLS // n))
     strips = -(-n // step)
-    shared = spark.sparkContext.broadcast(rows)  # n rows of a few doubles, n checked by the caller
+    order = rows.order(step)
+    shared = spark.sparkContext.broadcast((rows, order))  # n rows of a few doubles, n checked by the caller
 
     def run(batches):
         import pandas as pd
 
+        rows, order = shared.value
         for pdf in batches:
             for k in pdf["id"]:
-                fits = shared.value.fit(np.arange(k * step, min(n, (k + 1) * step)), perplexity, neighbours)
+                fits = rows.fit(order[k * step : (k + 1) * step], perplexity, neighbours)
                 yield pd.DataFrame({"k": [k], "fits": [np.stack(fits).tobytes()]})
 
     got = spark.range(0, strips, 1, min(strips, max(2, spark.sparkContext.defaultParallelism))).mapInPandas(run, "k long, fits binary").collect()
     shared.unpersist()
     each = [np.frombuffer(r["fits"]).reshape(-1, min(n, (r["k"] + 1) * step) - r["k"] * step) for r in sorted(got, key=lambda r: r["k"])]
-    return Rows(rows.values, rows.metrics, rows.relation, rows.combination, list(np.concatenate(each, axis=1)))
+    fits = np.concatenate(each, axis=1)
+    fits[:, order] = fits.copy()
+    return Rows(rows.values, rows.metrics, rows.relation, rows.combination, list(fits))
 
 
 def joint_tiles(spark, rows: Rows, eps: float = 1e-10) -> DataFrame:
@@ -266,24 +314,25 @@ def joint_tiles(spark, rows: Rows, eps: float = 1e-10) -> DataFrame:
 
 
 def near_table(spark, mappings: list[Rows], eps: float = 1e-10) -> DataFrame:
-    """(m, first, counts, columns, p): what joint matrices have above their floor, in strips of rows, written once."""
+    """(m, rows, counts, columns, p): what joint matrices have above their floor, in strips of rows, written once."""
     n = len(mappings[0].values[0])
     step = max(1, min(TILE, STRIP_CELLS // n))
     strips = -(-n // step)
-    shared = spark.sparkContext.broadcast(mappings)
+    shared = spark.sparkContext.broadcast([(r, r.order(step)) for r in mappings])
 
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             for m, k in (divmod(int(x), strips) for x in pdf["id"]):
-                rows = np.arange(k * step, min(n, (k + 1) * step))
-                a, j, p = shared.value[m].above(rows, eps)
+                mapping, order = shared.value[m]
+                rows = order[k * step : (k + 1) * step]
+                a, j, p = mapping.above(rows, eps)
                 counts = np.bincount(a, minlength=len(rows))
-                yield pd.DataFrame({"m": [m], "first": [k * step], "counts": [counts.astype(np.int64).tobytes()], "columns": [j.astype(np.int32).tobytes()], "p": [p.tobytes()]})
+                yield pd.DataFrame({"m": [m], "rows": [rows.astype(np.int32).tobytes()], "counts": [counts.astype(np.int64).tobytes()], "columns": [j.astype(np.int32).tobytes()], "p": [p.tobytes()]})
 
     tasks = min(len(mappings) * strips, max(2, 2 * spark.sparkContext.defaultParallelism))
-    return cut(spark.range(0, len(mappings) * strips, 1, tasks).mapInPandas(run, "m int, first int, counts binary, columns binary, p binary"))
+    return cut(spark.range(0, len(mappings) * strips, 1, tasks).mapInPandas(run, "m int, rows binary, counts binary, columns binary, p binary"))
 
 
 def line_sums(y: np.ndarray, kernels: list) -> list[np.ndarray] | None:
@@ -336,19 +385,18 @@ def line_gradients(near: DataFrame, ys: list[np.ndarray], exaggeration: float =
 
         for pdf in batches:
             out = []
-            for m, first, counts, columns, p in zip(pdf["m"], pdf["first"], pdf["counts"], pdf["columns"], pdf["p"], strict=True):
+            for m, rows, counts, columns, p in zip(pdf["m"], pdf["rows"], pdf["counts"], pdf["columns"], pdf["p"], strict=True):
                 counts, y = np.frombuffer(counts, dtype=np.int64), shared.value[m]
                 a = np.repeat(np.arange(len(counts)), counts)
-                d, p = y[first + a] - y[np.frombuffer(columns, dtype=np.int32)], np.frombuffer(p) * exaggeration
+                d, p = y[np.frombuffer(rows, dtype=np.int32)[a]] - y[np.frombuffer(columns, dtype=np.int32)], np.frombuffer(p) * exaggeration
                 square = 1 + d * d
                 pull = np.bincount(a, (p - floor) * d / square, len(counts))
-                out.append((m, first, pull.tobytes(), float((p * np.log(p)).sum() - len(p) * floor * math.log(floor) + ((p - floor) * np.log(square)).sum())))
-            yield pd.DataFrame(out, columns=["m", "first", "pull", "kl"])
+                out.append((m, rows, pull.tobytes(), float((p * np.log(p)).sum() - len(p) * floor * math.log(floor) + ((p - floor) * np.log(square)).sum())))
+            yield pd.DataFrame(out, columns=["m", "rows", "pull", "kl"])
 
     pulls, kls = [floor * s[1] for s in sums], [0.0] * len(ys)
-    for row in near.mapInPandas(run, "m int, first int, pull binary, kl double").collect():  # n doubles a mapping
-        part = np.frombuffer(row["pull"])
-        pulls[row["m"]][row["first"] : row["first"] + len(part)] += part
+    for row in near.mapInPandas(run, "m int, rows binary, pull binary, kl double").collect():  # n doubles a mapping
+        pulls[row["m"]][np.frombuffer(row["rows"], dtype=np.int32)] += np.frombuffer(row["pull"])
         kls[row["m"]] += row["kl"]
     shared.unpersist()
     out = []

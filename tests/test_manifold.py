@@ -208,3 +208,26 @@ def test_query_runs_all_iterations(spark, monkeypatch):
     monkeypatch.setattr(M.FTSNE, "fit_transform", lambda self, *a, **b: made.append(self))
     catalog.QUERIES["ftsne"](spark, "/root/testdata/sf0.001")
     assert made[0].max_iter == M.FTSNE().max_iter == 100
+
+
+def test_near_columns_are_all_that_matter(monkeypatch):
+    monkeypatch.setattr(M, "FIT_AMONG", 2)
+    x = np.random.RandomState(8).randn(3_000, 2)
+    x[:150], x[-1] = x[0], 40.0  # copies, and a flow far from all
+    rows, n = M.Rows([x], ["euclidean"], "probability", "identity"), len(x)
+    order = rows.order(50)
+    assert sorted(order) == list(range(n))
+    strips = [order[k : k + 50] for k in range(0, n, 50)]
+    fits = np.concatenate([rows.fit(s, 5.0, None) for s in strips], axis=1)
+    fits[:, order] = fits.copy()
+    sq = M.sq_distances(x, x)
+    for got, want in zip(fits, M.fit_rows(sq, np.arange(n), 5.0)[2:5], strict=False):
+        assert np.allclose(got, want, rtol=1e-9)
+    p = M.make_joint(M.conditional_p(sq, np.arange(n), 5.0)[0])
+    rows.fits = list(fits)
+    got = np.full((n, n), 1e-10)
+    for s in strips:
+        a, j, value = rows.above(s, 1e-10)
+        got[s[a], j] = value
+    np.fill_diagonal(got, 0.0)
+    assert np.allclose(got, p, rtol=1e-6, atol=1e-15)
